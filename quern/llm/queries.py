@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import sha256_of_ids, table
+from .decontam import contaminated
 from .packing import best_fit
 from .tokenbin import token_binary
 
@@ -17,6 +19,34 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), sha256_of_ids("items").alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+OP1_SQL = r"""
+with d as (
+  select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+  from documents),
+b as (
+  select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+  from benchmark where text is not null),
+win as (
+  select distinct item_id, width, array_to_string(words[i : i + width - 1], ' ') as w
+  from (select item_id, words, least(len(words), 10) as width, unnest(range(1, greatest(len(words) - 9, 1) + 1)) as i from b where len(words) > 0)),
+place as (
+  select rid, width, i, array_to_string(words[i : i + width - 1], ' ') as w
+  from (select rid, words, width, unnest(range(1, len(words) - width + 2)) as i from d, (select distinct width from win) where len(words) >= width)),
+hit as (select rid, item_id, i, p.width from place p join win using (w) where p.width = win.width),
+marked as (select rid, count(distinct pos) as n_hit from (select rid, unnest(range(i, i + width)) as pos from hit) group by rid),
+item as (select rid, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct rid, cast(item_id as varchar) as id from hit where item_id is not null) group by rid)
+select doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join marked using (rid) left join item using (rid)
+"""
+
+
 def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary(table(spark, sf_dir, "documents"), byte_bpe(), end_id=0)
 
@@ -26,8 +56,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op3_token_binary": op3_token_binary,
     "op7_best_fit_packing": op7_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": OP1_SQL,
+}
