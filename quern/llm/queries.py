@@ -11,6 +11,7 @@ from .common import sha256_of_ids, table
 from .decontam import contaminated
 from .packing import best_fit
 from .tokenbin import token_binary
+from .warc import archived
 
 
 def byte_bpe() -> str:
@@ -55,12 +56,26 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(table(spark, sf_dir, "documents"), byte_bpe(), end_id=2, capacity=1024)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages"), least=1000)
+
+
+OP8_SQL = """
+with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+g as (select payload_digest, max(page_id) as first from p where payload_bytes >= 1000 group by payload_digest having count(*) > 1),
+r as (select p.*, case when page_id is distinct from first then first end as refers_to from p left join g using (payload_digest))
+select page_id, payload_bytes, payload_digest, case when refers_to is null then 'response' else 'revisit' end as record_type, refers_to from r
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_token_binary": op3_token_binary,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_warc": op8_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": OP1_SQL,
+    "op8_warc": OP8_SQL,
 }
