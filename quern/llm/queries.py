@@ -11,6 +11,7 @@ from .chat import chats
 from .common import sha256_of_ids, table
 from .decontam import contaminated
 from .packing import best_fit
+from .secrets import joined, secret_spans
 from .tokenbin import token_binary
 from .warc import archived
 
@@ -49,6 +50,15 @@ from d left join marked using (rid) left join item using (rid)
 """
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = secret_spans(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), count("random"))
+
+
 def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary(table(spark, sf_dir, "documents"), byte_bpe(), end_id=0)
 
@@ -96,6 +106,7 @@ select page_id, payload_bytes, payload_digest, case when refers_to is null then
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_secrets": op2_secrets,
     "op3_token_binary": op3_token_binary,
     "op5_chat_format": op5_chat_format,
     "op7_best_fit_packing": op7_best_fit_packing,
