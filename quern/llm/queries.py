@@ -12,7 +12,9 @@ from .common import sha256_of_ids, table
 from .decontam import contaminated
 from .packing import best_fit
 from .secrets import joined, secret_spans
+from .simhash import hex_of, near_duplicates
 from .tokenbin import token_binary
+from .toxicity import fit, score_documents
 from .warc import archived
 
 
@@ -88,6 +90,13 @@ from t group by conv_id
 """
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").cast("long").alias("n_passages"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(table(spark, sf_dir, "documents"), byte_bpe(), end_id=2, capacity=1024)
 
@@ -104,13 +113,20 @@ select page_id, payload_bytes, payload_digest, case when refers_to is null then
 """
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2)
+    return found.select("doc_id", hex_of("fp").alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_secrets": op2_secrets,
     "op3_token_binary": op3_token_binary,
     "op5_chat_format": op5_chat_format,
+    "op6_toxicity": op6_toxicity,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_warc": op8_warc,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
