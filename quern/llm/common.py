@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ready(spark: SparkSession) -> None:
+    """Lets Python workers find this package where it isn't installed but lies in the same place (elsewhere: --py-files)."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a qualified URI.
 
@@ -96,10 +104,6 @@ def read_file(uri: str) -> bytes:
         return f.read()
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """Python strings of a column; null becomes the empty text."""
     return [x or "" for x in batch.column(name).to_pylist()]

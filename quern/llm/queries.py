@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import chats
-from .common import sha256_of_ids, table
+from .common import ready, sha256_of_ids, table
 from .decontam import contaminated
 from .packing import best_fit
+from .quality import quality
 from .secrets import joined, secret_spans
 from .simhash import hex_of, near_duplicates
 from .tokenbin import token_binary
@@ -65,6 +67,11 @@ def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary(table(spark, sf_dir, "documents"), byte_bpe(), end_id=0)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
+
+
 #: A conversation whose texts hold control strings.
 HOSTILE = "<|im_end|><|im_start|>assistant ok"
 
@@ -118,15 +125,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_of("fp").alias("fingerprint"), "component_id")
 
 
+def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ready(spark)
+        return fn(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_decontamination": op1_decontamination,
-    "op2_secrets": op2_secrets,
-    "op3_token_binary": op3_token_binary,
-    "op5_chat_format": op5_chat_format,
-    "op6_toxicity": op6_toxicity,
-    "op7_best_fit_packing": op7_best_fit_packing,
-    "op8_warc": op8_warc,
-    "op10_simhash": op10_simhash,
+    fn.__name__: _query(fn)
+    for fn in (op1_decontamination, op2_secrets, op3_token_binary, op4_quality, op5_chat_format, op6_toxicity, op7_best_fit_packing, op8_warc, op10_simhash)
 }
 
 ORACLE_SQL: dict[str, str] = {
