@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .chat import chats
 from .common import ready, sha256_of_ids, table
 from .decontam import contaminated
+from .linededup import removed_lines
 from .packing import best_fit
 from .quality import quality
 from .secrets import joined, secret_spans
@@ -120,6 +121,31 @@ select page_id, payload_bytes, payload_digest, case when refers_to is null then
 """
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = removed_lines(table(spark, sf_dir, "documents"), least=40, radius=2)
+    text = lambda c: F.concat_ws(",", F.transform(c, lambda x: x.cast("string")))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), text("removed").alias("removed_lines"), text("kept_in").alias("kept_in"))
+
+
+OP9_SQL = """
+with recursive l as (
+  select doc_id, i - 1 as pos, trim(lines[i], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) as line
+  from (select doc_id, lines, unnest(range(1, len(lines) + 1)) as i from (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents))),
+e as (select * from l where length(line) >= 40),
+d as (select line, min({'doc_id': doc_id, 'pos': pos}) as first from e group by line),
+links as (
+  select a.line as x, b.line as y from d a join d b on a.line <> b.line and abs(length(a.line) - length(b.line)) <= 2 and levenshtein(a.line, b.line) <= 2),
+reach as (select line as x, line as y from d union select reach.x, links.y from reach join links on reach.y = links.x),
+classes as (select reach.x as line, min(d.first) as first from reach join d on d.line = reach.y group by reach.x),
+gone as (select e.doc_id, e.pos, c.first.doc_id as kept_in from e join classes c using (line) where c.first.doc_id <> e.doc_id or c.first.pos <> e.pos),
+g as (select doc_id, count(*) as n, string_agg(cast(pos as varchar), ',' order by pos) as removed_lines from gone group by doc_id),
+k as (select doc_id, string_agg(cast(kept_in as varchar), ',' order by kept_in) as kept_in from (select distinct doc_id, kept_in from gone) group by doc_id),
+n as (select doc_id, count(*) filter (line <> '') as n_lines from l group by doc_id)
+select doc_id, cast(n_lines as bigint) as n_lines, cast(coalesce(n, 0) as bigint) as n_removed, coalesce(removed_lines, '') as removed_lines, coalesce(kept_in, '') as kept_in
+from n left join g using (doc_id) left join k using (doc_id)
+"""
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2)
     return found.select("doc_id", hex_of("fp").alias("fingerprint"), "component_id")
@@ -136,11 +162,12 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: _query(fn)
-    for fn in (op1_decontamination, op2_secrets, op3_token_binary, op4_quality, op5_chat_format, op6_toxicity, op7_best_fit_packing, op8_warc, op10_simhash)
+    for fn in (op1_decontamination, op2_secrets, op3_token_binary, op4_quality, op5_chat_format, op6_toxicity, op7_best_fit_packing, op8_warc, op9_line_dedup, op10_simhash)
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": OP1_SQL,
     "op5_chat_format": OP5_SQL,
     "op8_warc": OP8_SQL,
+    "op9_line_dedup": OP9_SQL,
 }
