@@ -120,7 +120,7 @@ def supersteps(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, i
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
-    """Adds sequence_id and offset to pieces (a table that reads alike each time, with a length of 1 to capacity)."""
+    """Adds sequence_id and offset to pieces (with a length of 1 to capacity)."""
     spark = pieces.sparkSession
     names = pieces.columns
 
@@ -170,4 +170,5 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
 
 def best_fit(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, with_ids: bool = False) -> DataFrame:
     """Each piece of each document with its sequence and its place there."""
-    return pack_pieces(pieces_of(docs, tokenizer, end_id, capacity, with_ids), capacity)
+    # Stored: dealing rows out by range reads them twice, and texts are to be encoded once.
+    return pack_pieces(stored(pieces_of(docs, tokenizer, end_id, capacity, with_ids), "pieces"), capacity)
