@@ -45,7 +45,7 @@ class Model:
     scores: dict[bytes, float] = field(default_factory=dict)
     pooled: float = -0.01
     k: float = 1.0
-    weights: tuple[float, ...] = (0.0, 0.0, 0.0)
+    weights: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
     bias: float = -20.0
 
 
@@ -83,12 +83,15 @@ def segments(words: list[bytes], model: Model) -> list[tuple[int, int, float]]:
     return [(a, b, y - x) for a, b, x, y in zip(left, right, before, upto, strict=True)]
 
 
-def evidence(n_words: int, found: list[tuple[int, int, float]], k: float) -> tuple[float, float, float]:
-    """What a document's segments say: minus the log of the best one's expected number, the sum of that over significant ones, how many these are."""
+def evidence(n_words: int, found: list[tuple[int, int, float]], k: float) -> tuple[float, ...]:
+    """What a document's segments say: whether there are any, minus the log of the best one's expected number in clean text of
+    that length, and the sums of all scores and of what significant ones have beyond chance.
+    """
     chance = math.log(k * max(n_words, 1))
+    if not found:
+        return 0.0, -chance, 0.0, 0.0
     own = [s - chance for _, _, s in found]
-    good = [x for x in own if x > -math.log(SIGNIFICANT)]
-    return max(own, default=-chance), math.log1p(sum(good)), math.log1p(len(good))
+    return 1.0, max(own), math.log1p(sum(s for _, _, s in found)), math.log1p(sum(x for x in own if x > -math.log(SIGNIFICANT)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 30) -> tuple[tuple[float, ...], float]:
