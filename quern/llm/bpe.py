@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -18,10 +19,17 @@ _ODD_SPACE = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
 
 
+# Runs that are pre-tokens of their own: letters, digits, marks (no apostrophe, which may start a contraction), a lone line break.
+_PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+|\n(?=\S)")
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Byte-level BPE writes byte b as a printable character: itself, or the next from 256 on.
+_PRINTED = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in set(_PRINTABLE))}
+
+
 class ChunkEncoder:
     """Encodes texts to little-endian uint32 ids. Strings of special tokens in a text are ordinary text."""
 
-    def __init__(self, path: str, max_chunks: int = 1_000_000):
+    def __init__(self, path: str, max_chunks: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -29,33 +37,30 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True
         self.max_chunks = max_chunks
         self.chunks: dict[str, bytes] = {}
-        size = self.tokenizer.get_vocab_size()
-        self.spaced = np.zeros(size, dtype=bool)  # ids of tokens that start with a space
-        for token, i in self.tokenizer.get_vocab().items():
-            self.spaced[i] = token.startswith("Ġ")
+        self.parts: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, missing: set[str]) -> None:
-        plain, odd = [], []
+        if len(self.chunks) + len(missing) > self.max_chunks:
+            self.chunks.clear()
+        if len(self.parts) > self.max_chunks // 2:
+            self.parts.clear()
+        parts, tokenize, own = self.parts, self.model.tokenize, self.chunks
         for x in missing:
-            (odd if not x or " " in x else plain).append(x)
-        for x in odd:
-            self.chunks[x] = self.whole(" " + x)
-        for i in range(0, len(plain), 2000):  # one text of many chunks; each one's first token, and no other, starts with a space
-            part = plain[i : i + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            at = np.flatnonzero(self.spaced[ids])
-            if len(at) == len(part) and at[0] == 0:
-                raw, ends = ids.tobytes(), [*(at[1:] * 4).tolist(), len(ids) * 4]
-                start = 0
-                for x, end in zip(part, ends, strict=True):
-                    self.chunks[x] = raw[start:end]
-                    start = end
-            else:  # a lone byte-level space inside a chunk's tokens: encode each alone
-                for x in part:
-                    self.chunks[x] = self.whole(" " + x)
+            found = _PARTS.findall(x)
+            if not found or sum(map(len, found)) != len(x):  # not only of parts that surely are pre-tokens
+                own[x] = self.whole(" " + x)
+                continue
+            found[0] = " " + found[0]
+            ids = b""
+            for part in found:
+                if (known := parts.get(part)) is None:
+                    known = parts[part] = array("I", [t.id for t in tokenize(part.encode().decode("latin-1").translate(_PRINTED))]).tobytes()
+                ids += known
+            own[x] = ids
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -64,22 +69,26 @@ class ChunkEncoder:
         return out
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        cut = [(_CUT.split(x) if _ODD_SPACE.search(x) else x.split(" ")) for x in texts]
-        get, join = self.chunks.get, b"".join
-        ids = [list(map(get, x)) for x in cut]
-        for x, v in zip(cut, ids, strict=True):
-            v[0] = self.whole(x[0]) if x[0] else b""  # the first has no space before it
-        holes = [[n for n, v in enumerate(x) if v is None] for x in ids]
-        missing = {x[n] for x, at in zip(cut, holes, strict=True) for n in at}
-        if missing:
-            if len(self.chunks) + len(missing) > self.max_chunks:
-                self.chunks.clear()
+        get, join, out = self.chunks.get, b"".join, []
+        later: list[tuple[int, list, list[tuple[int, str]]]] = []
+        for text in texts:  # one by one, so that its chunks don't leave the processor's cache
+            pieces = _CUT.split(text) if _ODD_SPACE.search(text) else text.split(" ")
+            ids = list(map(get, pieces))
+            ids[0] = self.whole(pieces[0]) if pieces[0] else b""  # the first has no space before it
+            if holes := [(n, pieces[n]) for n, y in enumerate(ids) if y is None]:
+                later.append((len(out), ids, holes))
+                out.append(b"")
+            else:
+                out.append(join(ids))
+        if later:
+            missing = {x for *_, holes in later for _, x in holes}
             self._learn(missing)
             chunks = self.chunks
-            for x, v, at in zip(cut, ids, holes, strict=True):
-                for n in at:
-                    v[n] = chunks[x[n]]
-        return [join(x) for x in ids]
+            for i, ids, holes in later:
+                for n, x in holes:
+                    ids[n] = chunks[x]
+                out[i] = join(ids)
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -90,12 +99,10 @@ def encoder(path: str) -> ChunkEncoder:
 
 @functools.lru_cache(maxsize=2)
 def token_bytes(path: str) -> list[bytes]:
-    """The bytes of each token: byte-level BPE writes byte b as a printable character."""
+    """The bytes of each token."""
     from tokenizers import Tokenizer
 
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    char = {chr(b): b for b in printable}
-    char |= {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in set(printable))}
+    char = {c: b for b, c in _PRINTED.items()}
     t = Tokenizer.from_file(path)
     out = [b""] * t.get_vocab_size()
     for token, i in t.get_vocab().items():
