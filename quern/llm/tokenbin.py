@@ -30,12 +30,12 @@ from .bpe import encoder
 from .common import filesystem, new_path, stored, texts_of
 
 MAGIC, END = b"QIDS8B1\0", 0x51554944533842
-BLOCK = 4096
+BLOCK = 1024
 COUNTS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0, 1])
 WIDTHS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 0, 60])
 ESCAPE = 15
 #: Ids that are packed or unpacked at a time.
-STEP = 256 * BLOCK
+STEP = 1024 * BLOCK
 
 
 def pack(ids: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -44,22 +44,29 @@ def pack(ids: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
     rows = -(-n // BLOCK)
     if not rows:
         return b"", np.zeros(0, np.int64), np.zeros(0, np.int64)
-    grid = np.zeros((rows, BLOCK + 60), dtype=np.uint64)  # beyond a block's end zeros may fill a word
-    flat = np.zeros(rows * BLOCK, dtype=np.uint64)
-    flat[:n] = ids
-    grid[:, :BLOCK] = flat.reshape(rows, BLOCK)
+    most = int(ids.max())
+    kind = np.uint32 if most < 1 << 32 else np.uint64
+    grid = np.zeros((rows, BLOCK + 60), dtype=kind)  # beyond a block's end zeros may fill a word
+    whole = n // BLOCK
+    grid[:whole, :BLOCK] = ids[: whole * BLOCK].reshape(whole, BLOCK)
+    grid[whole:, : n - whole * BLOCK] = ids[whole * BLOCK :]
+    # Where a word may take the ids of selector s it may take those of s - 1: each that fits adds one.
     best = np.zeros(grid.shape, dtype=np.uint8)
-    best[grid >= (1 << 60)] = ESCAPE
     for s in range(1, 14):
         count, width = int(COUNTS[s]), int(WIDTHS[s])
-        fits, have = grid < (1 << width), 1
+        if most < 1 << width:
+            best += 1
+            continue
+        fits, have = grid < kind(1 << width), 1
         while have < count:  # fits[i]: the ids i to i + have - 1 are narrow enough
             step = min(have, count - have)
             fits[:, :-step] &= fits[:, step:]
             have += step
         if not fits[:, :BLOCK].any():
             break
-        best[fits] = s
+        best += fits.view(np.uint8)
+    if most >= 1 << 60:
+        best[grid >= (1 << 60)] = ESCAPE
     ends = np.full(rows, BLOCK)
     ends[-1] = n - (rows - 1) * BLOCK
     at, lanes = np.zeros(rows, dtype=np.int64), np.arange(rows)
@@ -79,9 +86,9 @@ def pack(ids: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
     words = sel.astype(np.uint64) << np.uint64(60)
     for s in range(14):
         if len(mine := np.flatnonzero(sel == s)):
-            value, width = np.zeros(len(mine), dtype=np.uint64), int(WIDTHS[s])
+            value, width, at = np.zeros(len(mine), dtype=np.uint64), int(WIDTHS[s]), start[mine]
             for k in range(int(COUNTS[s])):
-                value |= flat[start[mine] + k] << np.uint64(k * width)
+                value |= flat[at + k].astype(np.uint64) << np.uint64(k * width)
             words[mine] |= value
     n_words = np.bincount(row, minlength=rows)
     escaped = np.flatnonzero(sel == ESCAPE)
@@ -90,7 +97,7 @@ def pack(ids: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
         return words.astype("<u8").tobytes(), n_words, n_escapes
     first = np.cumsum(n_escapes) - n_escapes
     words[escaped] |= (np.arange(len(escaped)) - first[row[escaped]]).astype(np.uint64)
-    raw, out, a = flat[start[escaped]], [], 0
+    raw, out, a = flat[start[escaped]].astype(np.uint64), [], 0
     for r in range(rows):
         out += [words[a : a + n_words[r]], raw[first[r] : first[r] + n_escapes[r]]]
         a += n_words[r]
@@ -108,8 +115,13 @@ def unpack(data: np.ndarray, n_words: np.ndarray, n_escapes: np.ndarray, n_ids:
     if (sel == 14).any():
         raise ValueError("selector 14 has no meaning")
     counts = COUNTS[sel]
+    got = np.bincount(row, weights=counts, minlength=rows).astype(np.int64)
+    if (got < n_ids).any():
+        raise ValueError("a block has fewer ids than its table says")
+    # A block's last word may hold more than its ids: each block has room for that.
     first = np.cumsum(counts) - counts
-    out = np.zeros(int(counts.sum()), dtype=np.uint64)
+    first += row * (BLOCK + 60) - np.repeat(np.cumsum(got) - got, n_words)
+    out = np.zeros(rows * (BLOCK + 60), dtype=np.uint64 if ((sel == 0) | (sel == ESCAPE)).any() else np.uint32)
     for s in range(14):
         if len(mine := np.flatnonzero(sel == s)):
             width, at, word = int(WIDTHS[s]), first[mine], words[mine]
@@ -119,11 +131,10 @@ def unpack(data: np.ndarray, n_words: np.ndarray, n_escapes: np.ndarray, n_ids:
     if len(mine := np.flatnonzero(sel == ESCAPE)):
         r = row[mine]
         out[first[mine]] = data[starts[r] + n_words[r] + (words[mine] & np.uint64((1 << 60) - 1)).astype(np.int64)]
-    got = np.bincount(row, weights=counts, minlength=rows).astype(np.int64)
-    if (got < n_ids).any():
-        raise ValueError("a block has fewer ids than its table says")
-    keep = np.arange(len(out)) - np.repeat(np.cumsum(got) - got, got) < np.repeat(n_ids, got)
-    return out[keep]
+    out = out.reshape(rows, BLOCK + 60)
+    if (n_ids[:-1] == BLOCK).all():
+        return out[:, :BLOCK].reshape(-1)[: int(n_ids.sum())]
+    return np.concatenate([x[:n] for x, n in zip(out, n_ids.tolist(), strict=True)])
 
 
 class Writer:
