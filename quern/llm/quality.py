@@ -33,6 +33,8 @@ from .common import stored, texts_of
 
 ORDER = 5
 MIN_WORDS, MIN_DOCS = 50, 100
+#: Words that are worked on at a time.
+SLICE = 50_000
 #: Interquartile ranges beyond the quartiles.
 FENCE = 3.0
 BEGIN, FINISH = 1, 2  # code points that stand for a word's ends; words don't hold them as they are separators' neighbours
@@ -82,14 +84,16 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, words in seen.items():
-                weight = np.array(list(words.values()), np.int64)
-                for k, key, context, suffix, begins, own in ngrams(list(words), salt_of(lang)):
-                    if not len(key):
-                        continue
-                    distinct, first, back = np.unique(key, return_index=True, return_inverse=True)
-                    n = np.bincount(back, weights=weight[own]).astype(np.int64)
-                    cols = [pa.array([lang] * len(distinct)), pa.array(np.full(len(distinct), k, np.int32)), *(pa.array(x.view(np.int64)) for x in (distinct, context[first], suffix[first])), pa.array(begins[first]), pa.array(n)]
-                    yield pa.RecordBatch.from_arrays(cols, names)
+                names_, weight = list(words), np.fromiter(words.values(), np.int64, len(words))
+                found: dict[int, list[tuple[np.ndarray, ...]]] = {}
+                for s in range(0, len(names_), SLICE):
+                    for k, *columns, own in ngrams(names_[s : s + SLICE], salt_of(lang)):
+                        found.setdefault(k, []).append(_added(columns, weight[s + own]))
+                for k, parts in found.items():
+                    key, context, suffix, begins, n = _added([np.concatenate(x) for x in zip(*(p[:4] for p in parts), strict=True)], np.concatenate([p[4] for p in parts])) if len(parts) > 1 else parts[0]
+                    if len(key):
+                        cols = [pa.array([lang] * len(key)), pa.array(np.full(len(key), k, np.int32)), *(pa.array(x.view(np.int64)) for x in (key, context, suffix)), pa.array(begins), pa.array(n)]
+                        yield pa.RecordBatch.from_arrays(cols, names)
             seen.clear()
 
         for b in batches:
@@ -104,6 +108,12 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
     return found.groupBy("lang", "k", "key", "context", "suffix", "begins").agg(F.sum("n").alias("n"))
 
 
+def _added(columns: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Columns, of which the first is a key of the others, with a row for each key, and the sums of n."""
+    key, first, back = np.unique(columns[0], return_index=True, return_inverse=True)
+    return key, *(c[first] for c in columns[1:]), np.bincount(back, weights=n, minlength=len(key)).astype(np.int64)
+
+
 def salt_of(lang: str) -> int:
     import zlib
 
@@ -143,22 +153,23 @@ def estimate(table: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.n
             lower = lp[np.minimum(np.searchsorted(lk, suffix), len(lk) - 1)]
         probability[k] = (key, p + held[back] * lower)
         backoff.append((contexts, held))
+    # The begin mark alone is a context, but no n-gram.
+    contexts = np.concatenate([c for c, _ in backoff[1:]])
+    held = np.concatenate([h for _, h in backoff[1:]])
     keys = np.concatenate([probability[k][0] for k in probability])
     logp = np.log(np.concatenate([probability[k][1] for k in probability]))
-    weight = np.zeros(len(keys))
+    more = np.setdiff1d(contexts, keys)
+    keys, logp = np.concatenate([keys, more]), np.concatenate([logp, np.full(len(more), -np.inf)])
     order = np.argsort(keys)
-    keys, logp = keys[order], logp[order]
-    for contexts, held in backoff[1:]:
-        at = np.minimum(np.searchsorted(keys, contexts), len(keys) - 1)
-        ok = keys[at] == contexts
-        weight[at[ok]] = np.log(held[ok])
+    keys, logp, weight = keys[order], logp[order], np.zeros(len(keys))
+    weight[np.searchsorted(keys, contexts)] = np.log(held)
     return keys, logp.astype(np.float32), weight.astype(np.float32)
 
 
 class Scorer:
     """Log-probabilities of words; those of common words are kept."""
 
-    def __init__(self, models: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, float]], max_words: int = 400_000):
+    def __init__(self, models: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, float]], max_words: int = 600_000):
         self.models, self.max_words = models, max_words
         self.known: dict[str, dict[bytes, float]] = {}
 
@@ -203,11 +214,12 @@ class Scorer:
             known = self.known.setdefault(lang, {})
             mine = [i for i, x in enumerate(langs) if x == lang]
             missing = list({w for i in mine for w in texts[i]} - known.keys())
-            if len(known) + len(missing) > self.max_words:
-                known.clear()
+            if sum(map(len, self.known.values())) + len(missing) > self.max_words:
+                for x in self.known.values():
+                    x.clear()
                 missing = list({w for i in mine for w in texts[i]})
-            for s in range(0, len(missing), 100_000):
-                part = missing[s : s + 100_000]
+            for s in range(0, len(missing), SLICE):
+                part = missing[s : s + SLICE]
                 known.update(zip(part, self.words(lang, part).tolist(), strict=True))
             for i in mine:
                 out[i] = sum(map(known.__getitem__, texts[i]))
