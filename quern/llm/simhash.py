@@ -1,7 +1,7 @@
 """SimHash near-duplicates through a Gray-order hierarchical index.
 
 Documents with equal fingerprints are one class. Fingerprints at most ``radius`` bits apart
-agree wholly in one of radius + 1 blocks of bits, so each distinct fingerprint is filed under
+agree wholly in one of a few blocks of bits, so each distinct fingerprint is filed under
 each of its blocks. Within a block fingerprints are sorted by Gray rank, in which neighbours
 share long masked patterns, and cut into leaves of up to LEAF; a node holds the bits that all of
 its members share (a mask and their pattern). Two nodes whose shared bits already differ in more
@@ -21,7 +21,7 @@ aren't read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -141,9 +141,15 @@ def _compare(a: np.ndarray, at: int, b: np.ndarray, bt: int, radius: int, forest
 
 
 def blocks_of(radius: int) -> list[int]:
-    """The masks of radius + 1 blocks of bits."""
-    edges = [64 * i // (radius + 1) for i in range(radius + 2)]
-    return [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(edges, edges[1:], strict=False)]
+    """Masks of which any two codes at most radius bits apart agree wholly in one.
+
+    Up to 2 bits: each of radius + 1 blocks. Beyond, where such blocks would be too short to tell
+    codes apart: each pair of radius + 2 blocks, of which at least two agree.
+    """
+    n = radius + 1 if radius <= 2 else radius + 2
+    edges = [64 * i // n for i in range(n + 1)]
+    blocks = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(edges, edges[1:], strict=False)]
+    return blocks if radius <= 2 else [a | b for a, b in combinations(blocks, 2)]
 
 
 def _signed(x: int) -> int:
