@@ -5,7 +5,8 @@ segments are filed under its length (the index), and of each line the substrings
 a segment of a line that is up to ``radius`` shorter are looked up (the probes; of the places
 where a segment may stand only those that leave its left and right neighbours enough edits).
 Both are 64-bit hashes, so that no text is shuffled for them; each task counts a line once.
-Pairs that meet are verified on their texts by a banded bit-parallel edit distance. Verified
+Pairs that meet, and in which no more characters differ in number than so many edits can change, are
+verified on their texts by a banded bit-parallel edit distance. Verified
 links join lines to classes, and of each class the line of the smallest doc_id and line number
 stays.
 
@@ -34,8 +35,12 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
 #: Characters that are hashed at a time.
 CHUNK = 1 << 20
+#: Pairs that are looked at at a time.
+STEP = 1 << 19
 #: Bits of the filter over lines whose text is needed; of a fixed size, whatever the input.
 FILTER_BITS = 1 << 26
+#: A document of which less is left is a copy.
+LEFT = 0.2
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -74,14 +79,15 @@ def segment_keys(lines: list[str], radius: int) -> tuple[np.ndarray, np.ndarray]
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     length = np.array([len(x) for x in lines], np.int64)
     start = np.cumsum(length) - length
-    power = np.cumprod(np.concatenate([[1], np.full(len(codes), _BASE, np.uint64)]).astype(np.uint64))
-    inverse = np.cumprod(np.concatenate([[1], np.full(len(codes), _INVERSE, np.uint64)]).astype(np.uint64))
+    power, inverse = (np.full(len(codes) + 1, x, np.uint64) for x in (_BASE, _INVERSE))
+    power[0] = inverse[0] = 1
+    power, inverse = np.cumprod(power), np.cumprod(inverse)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(codes + np.uint64(1)) * power[:-1])])
     keys, owners = [], []
 
     def put(first: np.ndarray, n: np.ndarray, indexed: np.ndarray, i: int, probe: int, own: np.ndarray) -> None:
         h = (total[first + n] - total[first]) * inverse[first]
-        h = _mix(_mix(h + indexed.astype(np.uint64) * _ODD) + np.uint64(i + 1) * _BASE)
+        h = _mix(_mix(h + indexed.astype(np.uint64) * _ODD) + np.array([i + 1], np.uint64) * _BASE)
         keys.append((h & ~np.uint64(1)) | np.uint64(probe))
         owners.append(own)
 
@@ -100,6 +106,23 @@ def segment_keys(lines: list[str], radius: int) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(keys), np.concatenate(owners)
 
 
+def signatures(lines: list[str]) -> np.ndarray:
+    """64 bits of each line: how often its characters fall into each of 32 kinds, modulo 4."""
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
+    own = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+    kinds = (codes * np.uint32(0x9E3779B1)) >> np.uint32(27)
+    counts = np.bincount(own * 32 + kinds, minlength=32 * len(lines)).reshape(-1, 32).astype(np.uint64) & np.uint64(3)
+    return np.bitwise_or.reduce(counts << (2 * np.arange(32)).astype(np.uint64), axis=1)
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """By how much counts of kinds differ at least, in total; one edit changes that by 2 at most."""
+    low = 0x5555555555555555
+    odd = (a ^ b) & np.uint64(low)
+    two = (((a ^ b) >> np.uint64(1)) ^ (~a & b)) & np.uint64(low) & ~odd
+    return np.bitwise_count(odd) + 2 * np.bitwise_count(two)
+
+
 def within(a: str, b: str, radius: int) -> bool:
     """Whether a and b are at most radius edits apart: a bit-parallel automaton over the band of diagonals.
 
@@ -171,55 +194,51 @@ def _distinct(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[l
 
 
 def _pairs(docs: DataFrame, least: int, radius: int) -> DataFrame:
-    """a, b: hashes of lines that share a key."""
+    """a, b: hashes of lines that share a key and whose characters are alike enough."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for hashes, lines in _distinct(batches, least):
             key, own = segment_keys(lines, radius)
-            line = np.array(hashes, np.int64)[own]
+            line, sign = np.array(hashes, np.int64)[own], signatures(lines)[own]
             for i in range(0, len(key), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 200_000].view(np.int64)), pa.array(line[i : i + 200_000])], ["key", "line"])
+                j = i + 200_000
+                yield pa.RecordBatch.from_arrays([pa.array(key[i:j].view(np.int64)), pa.array(line[i:j]), pa.array(sign[i:j].view(np.int64))], ["key", "line", "sign"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = list(batches)
         if not rows:
             return
-        key = np.concatenate([b.column("key").to_numpy() for b in rows]).view(np.uint64)
-        line = np.concatenate([b.column("line").to_numpy() for b in rows])
+        key, line, sign = (np.concatenate([b.column(c).to_numpy() for b in rows]) for c in ("key", "line", "sign"))
         del rows
-        order = np.argsort(key, kind="stable")
-        key, line = key[order], line[order]
+        key, sign = key.view(np.uint64), sign.view(np.uint64)
+        order = np.lexsort((line, key))
+        order = order[np.concatenate([[True], (key[order[1:]] != key[order[:-1]]) | (line[order[1:]] != line[order[:-1]])])]
+        key, line, sign = key[order], line[order], sign[order]
         group = key >> np.uint64(1)
         starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        ends = np.append(starts[1:], len(key))
-        indexed = (key & np.uint64(1)) == 0
-        some = np.flatnonzero((ends - starts > 1) & indexed[starts])  # in a group the index comes first
-        mine, theirs, n = [], [], 0
-        for lo, hi in zip(starts[some].tolist(), ends[some].tolist(), strict=True):
-            split = lo + int(np.count_nonzero(indexed[lo:hi]))
-            index, probes = np.unique(line[lo:split]), np.unique(line[lo:hi])
-            if len(probes) < 2:
-                continue
-            for x in index.tolist():
-                other = probes[probes != x]
-                mine.append(np.minimum(other, x))
-                theirs.append(np.maximum(other, x))
-                n += len(other)
-                if n >= 100_000:
-                    yield _pair_batch(mine, theirs)
-                    mine, theirs, n = [], [], 0
-        if n:
-            yield _pair_batch(mine, theirs)
-
-    dealt = docs.mapInArrow(keys, "key long, line long").repartition(F.shiftrightunsigned("key", 1))
+        size = np.diff(np.append(starts, len(key)))
+        # Each line of the index meets all of its group, in bounded steps.
+        own = np.repeat(np.arange(len(starts)), size)
+        index = np.flatnonzero(((key & np.uint64(1)) == 0) & (size[own] > 1))
+        upto = np.cumsum(size[own[index]])
+        lo = 0
+        while lo < len(index):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + STEP)))
+            mine = index[lo:hi]
+            n = size[own[mine]]
+            a = np.repeat(mine, n)
+            b = np.repeat(starts[own[mine]] - (np.cumsum(n) - n), n) + np.arange(len(a))
+            ok = (apart(sign[a], sign[b]) <= 2 * radius) & (line[a] != line[b])
+            x, y = line[a[ok]], line[b[ok]]
+            if len(x):
+                both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+            lo = hi
+
+    dealt = docs.mapInArrow(keys, "key long, line long, sign long").repartition(F.shiftrightunsigned("key", 1))
     return dealt.mapInArrow(meet, "a long, b long").distinct()
 
 
-def _pair_batch(mine: list[np.ndarray], theirs: list[np.ndarray]) -> pa.RecordBatch:
-    both = np.unique(np.stack([np.concatenate(mine), np.concatenate(theirs)], axis=1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-
 def _texts(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     """line, text of the wanted lines (line). A filter of a fixed size keeps most others from the shuffle."""
     bits = wanted.selectExpr(f"cast(shiftright(line & {FILTER_BITS - 1}L, 6) as int) as word", "shiftleft(1L, cast(line & 63L as int)) as bit")
@@ -276,13 +295,19 @@ def removed_lines(docs: DataFrame, least: int = 40, radius: int = 2) -> DataFram
     return found.select("d.doc_id", "n_lines", empty("removed", "int"), empty("kept_in", "bigint"))
 
 
-def without_lines(docs: DataFrame, least: int = 40, radius: int = 2) -> DataFrame:
-    """The documents without the lines that are removed, in all their columns (n_chars, if there, is kept in step); those that lose their last line go."""
-    found = removed_lines(docs, least, radius).filter(F.size("removed") > 0).select(F.col("doc_id").alias("_doc"), F.col("removed").alias("_removed")).dropDuplicates(["_doc"])
-    rows = docs.join(stored(found, "removed"), F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left")
-    pieces = F.split("text", "\n", -1)
-    kept = F.filter(F.transform(pieces, lambda x, i: F.when(~F.array_contains(F.col("_removed"), i), x)), lambda x: x.isNotNull())
-    rows = rows.withColumn("_kept", F.when(F.col("_doc").isNull() & F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    rows = rows.filter(F.col("_removed").isNull() | (F.trim(F.translate("_kept", "\n\t\r", "   ")) != ""))
-    columns = [F.col("_kept").alias("text") if c == "text" else F.when(F.col("_removed").isNull(), F.col(c)).otherwise(F.length("_kept")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return rows.select(columns)
+def without_lines(docs: DataFrame, least: int = 40, radius: int = 2, left: float = LEFT) -> DataFrame:
+    """The documents without the lines that are removed, in all their columns (n_chars, if there, is kept in step).
+
+    Documents of which less than the share ``left`` of the characters is left, white space at lines' ends aside, go: they are copies.
+    """
+    found = removed_lines(docs, least, radius).filter(F.size("removed") > 0).select(F.col("doc_id").alias("_gone_doc"), F.col("removed").alias("_gone")).dropDuplicates(["_gone_doc"])
+    rows = docs.join(stored(found, "removed"), F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_doc")), "left")
+    lines = F.split("text", "\n", -1)
+    kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i))
+    size = lambda x: F.aggregate(x, F.lit(0), lambda n, y: n + F.length(F.trim(y)))
+    rows = rows.withColumn("_kept", F.when(F.col("_gone").isNotNull(), F.array_join(kept, "\n")))
+    rows = rows.filter(F.col("_gone").isNull() | (size(kept) >= left * size(lines)))
+    new = {"text": F.coalesce("_kept", "text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("_kept").cast(docs.schema["n_chars"].dataType))
+    return rows.select([new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
