@@ -11,8 +11,9 @@ A model of word n-grams grows with the corpus without bound, and so can't be hel
 executor. One of characters levels off; ``max_entries`` bounds it in any case: beyond it rarer
 n-grams are left to the back-off, as in any pruned model. Counting still covers every text.
 
-Bands are Tukey's outer fences of the log-perplexity of documents of at least MIN_WORDS words of
-a language (of all languages, where one has fewer than MIN_DOCS such documents).
+Bands are Tukey's outer fences of the log-perplexity, by word and by character, of documents of at
+least MIN_WORDS words of a language (of all languages, where one has fewer than MIN_DOCS such
+documents). By word, marks stuck to words stand out; by character, tables and other languages.
 
 Nulls, ties, empties: a null text is an empty one; empty texts have no words and fail; a null
 language is one of its own; repeated rows and null doc_ids are separate documents; an empty
@@ -37,6 +38,7 @@ MIN_WORDS, MIN_DOCS = 50, 100
 SLICE = 50_000
 #: Interquartile ranges beyond the quartiles.
 FENCE = 3.0
+MEASURES = ("log_perplexity", "char_log_perplexity")
 BEGIN, FINISH = 1, 2  # code points that stand for a word's ends; words don't hold them as they are separators' neighbours
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -261,7 +263,7 @@ def line_counts(text: str, words: list[bytes]) -> tuple[int, int, int, int, int]
 
 
 def measures(docs: DataFrame, models: dict) -> DataFrame:
-    """doc_id, lang, the counts, log_perplexity (null without words) of each document."""
+    """doc_id, lang, the counts, and the log-perplexity by word and by character (null without words) of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -274,24 +276,29 @@ def measures(docs: DataFrame, models: dict) -> DataFrame:
                 words = [t.encode().split() for t in texts]
                 counts = [line_counts(t, w) for t, w in zip(texts, words, strict=True)]
                 logp = scorer.texts(langs, words)
-                perplexity = [-p / (c[1] + c[0]) if c[0] else None for p, c in zip(logp, counts, strict=True)]
+                by_word = [-p / c[0] if c[0] else None for p, c in zip(logp, counts, strict=True)]
+                by_char = [-p / (c[1] + c[0]) if c[0] else None for p, c in zip(logp, counts, strict=True)]
                 cols = list(zip(*counts, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), *(pa.array(x, pa.int64()) for x in cols), pa.array(perplexity, pa.float64())], ["doc_id", "lang", *names, "log_perplexity"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), *(pa.array(x, pa.int64()) for x in cols), pa.array(by_word, pa.float64()), pa.array(by_char, pa.float64())], ["doc_id", "lang", *names, *MEASURES])
 
     rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang string, {', '.join(f'{n} long' for n in names)}, log_perplexity double")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang string, {', '.join(f'{n} long' for n in names)}, {', '.join(f'{m} double' for m in MEASURES)}")
 
 
 def quality(docs: DataFrame, max_entries: int = 3_000_000) -> DataFrame:
-    """The measures of each document, its language's band (low, high), base_failed and kept."""
+    """The measures of each document, its language's bands (low and high of each of MEASURES), base_failed and kept."""
     found = stored(measures(docs, fit(docs, max_entries)), "measures")
-    quartiles = F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000)
     fit_for = found.filter(F.col("n_words") >= MIN_WORDS)
-    fences = lambda df: df.select(*[c for c in df.columns if c != "q"], (F.col("q")[0] - FENCE * (F.col("q")[1] - F.col("q")[0])).alias("low"), (F.col("q")[1] + FENCE * (F.col("q")[1] - F.col("q")[0])).alias("high"))
-    by_lang = fences(fit_for.groupBy("lang").agg(quartiles.alias("q"), F.count("*").alias("n"))).filter(F.col("n") >= MIN_DOCS).drop("n")
-    over_all = fences(fit_for.agg(quartiles.alias("q"))).first()
-    bands = stored(by_lang, "bands")
+    quartiles = [F.percentile_approx(m, [0.25, 0.75], 10_000).alias(m) for m in MEASURES]
+    low = lambda m: F.col(m)[0] - FENCE * (F.col(m)[1] - F.col(m)[0])
+    high = lambda m: F.col(m)[1] + FENCE * (F.col(m)[1] - F.col(m)[0])
+    fences = [f(m).alias(f"{name}_{m}") for m in MEASURES for name, f in (("low", low), ("high", high))]
+    by_lang = fit_for.groupBy("lang").agg(*quartiles, F.count("*").alias("n")).filter(F.col("n") >= MIN_DOCS).select("lang", *fences)
+    over_all = fit_for.agg(*quartiles).select(*fences).first()
+    rows = found.join(stored(by_lang, "bands"), "lang", "left")
+    rows = rows.withColumns({c: F.coalesce(F.col(c), F.lit(over_all[c]).cast("double")) for c in by_lang.columns if c != "lang"})
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    low, high = (F.coalesce(F.col(c), F.lit(over_all[c]).cast("double")) for c in ("low", "high"))
-    inside = F.coalesce(F.col("log_perplexity").between(low, high), F.lit(False))
-    return found.join(bands, "lang", "left").withColumn("base_failed", failed).withColumn("kept", ~failed & inside)
+    inside = F.lit(True)
+    for m in MEASURES:
+        inside = inside & F.col(m).between(F.col(f"low_{m}"), F.col(f"high_{m}"))
+    return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & F.coalesce(inside, F.lit(False)))
