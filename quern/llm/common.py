@@ -73,9 +73,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def dropped(df: DataFrame) -> None:
-    """Removes the files behind stored(df)."""
-    drop_path(df.sparkSession, df._quern_path)
+def dropped(*frames: DataFrame) -> None:
+    """Removes the files behind frames from stored(), once nothing reads them any more."""
+    for df in frames:
+        drop_path(df.sparkSession, df._quern_path)
 
 
 def filesystem(uri: str):
@@ -85,6 +86,18 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def publish(fs, tried: str, path: str) -> None:
+    """Gives a whole file its name. Another attempt of the same task may have been first; its file holds the same."""
+    from pyarrow import fs as pafs
+
+    try:
+        fs.move(tried, path)
+    except OSError:
+        if fs.get_file_info(path).type != pafs.FileType.File:
+            raise
+        fs.delete_file(tried)
+
+
 def commit_file(uri: str, parts: list[bytes], attempt: int) -> int:
     """Writes a file under a name of this attempt, then renames it, so that readers see whole files only."""
     fs, path = filesystem(uri)
@@ -94,7 +107,7 @@ def commit_file(uri: str, parts: list[bytes], attempt: int) -> int:
         for x in parts:
             out.write(x)
         size = out.tell()
-    fs.move(tried, path)
+    publish(fs, tried, path)
     return size
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, texts_of
+from .common import dropped, stored, texts_of
 from .components import components
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -280,7 +280,9 @@ def line_classes(docs: DataFrame, least: int = 40, radius: int = 2) -> tuple[Dat
 
     links = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"), "links")
     joined = components(distinct.select(F.col("line").alias("node"), F.col("first").alias("label")), links)
-    return by_doc, stored(joined.select(F.col("node").alias("line"), F.col("label").alias("first")), "classes")
+    classes = stored(joined.select(F.col("node").alias("line"), F.col("label").alias("first")), "classes")
+    dropped(distinct, pairs, ends, texts, links)
+    return by_doc, classes
 
 
 def removed_lines(docs: DataFrame, least: int = 40, radius: int = 2) -> DataFrame:

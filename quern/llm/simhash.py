@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, stored
+from .common import bytes_of, dropped, stored
 from .components import components
 
 #: A-Z become a-z, white space becomes a space; other bytes stay.
@@ -240,6 +240,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     edges = stored(links(classes, radius), "links")
     # Stored, so that the join below has plain exchanges on both sides and may split a fingerprint that many documents share.
     joined = stored(components(classes.select(F.col("fp").alias("node"), F.col("first").alias("label")), edges), "components")
+    dropped(classes, edges)
     return fps.join(joined.select(F.col("node").alias("fp"), F.col("label").alias("component_id")), "fp").select("doc_id", "fp", "component_id")
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import filesystem, new_path, stored, texts_of
+from .common import filesystem, new_path, publish, stored, texts_of
 
 MAGIC, END = b"QIDS8B1\0", 0x51554944533842
 BLOCK = 1024
@@ -181,7 +181,7 @@ class Writer:
         self.out.write(np.array([len(table), len(self.docs), self.n_ids, at, zlib.crc32(footer), END], "<u8").tobytes())
         size = self.out.tell()
         self.out.close()
-        self.fs.move(self.tried, self.path)
+        publish(self.fs, self.tried, self.path)
         return {"n_docs": len(self.docs), "n_ids": self.n_ids, "n_bytes": size}
 
 
