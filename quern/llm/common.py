@@ -13,11 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
+from quern.sources.tables import table
 
+__all__ = ["bytes_of", "commit_file", "dropped", "filesystem", "new_path", "publish", "read_file", "ready", "sha256_of_ids", "shared_dir", "stored", "table", "texts_of"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+_LOCAL: dict[str, str] = {}
 
 
 def ready(spark: SparkSession) -> None:

@@ -211,20 +211,29 @@ class Scorer:
 
     def texts(self, langs: list[str], texts: list[list[bytes]]) -> list[float]:
         """Log-probability of each text's words."""
-        out = [0.0] * len(texts)
-        for lang in set(langs):
-            known = self.known.setdefault(lang, {})
-            mine = [i for i, x in enumerate(langs) if x == lang]
-            missing = list({w for i in mine for w in texts[i]} - known.keys())
+        out: list[float] = []
+        later: list[tuple[int, str, list, list[tuple[int, bytes]]]] = []
+        for lang, words in zip(langs, texts, strict=True):
+            p = list(map(self.known.setdefault(lang, {}).get, words))
+            if holes := [(n, words[n]) for n, x in enumerate(p) if x is None]:
+                later.append((len(out), lang, p, holes))
+                out.append(0.0)
+            else:
+                out.append(sum(p))
+        for lang in {x[1] for x in later}:
+            mine = [x for x in later if x[1] == lang]
+            missing = list({w for *_, holes in mine for _, w in holes})
             if sum(map(len, self.known.values())) + len(missing) > self.max_words:
                 for x in self.known.values():
                     x.clear()
-                missing = list({w for i in mine for w in texts[i]})
+            known = self.known[lang]
             for s in range(0, len(missing), SLICE):
                 part = missing[s : s + SLICE]
                 known.update(zip(part, self.words(lang, part).tolist(), strict=True))
-            for i in mine:
-                out[i] = sum(map(known.__getitem__, texts[i]))
+            for i, _, p, holes in mine:
+                for n, w in holes:
+                    p[n] = known[w]
+                out[i] = sum(p)
         return out
 
 
