@@ -28,9 +28,9 @@ def repeated_lines_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: shingles of five words, up to four bits apart."""
+    """One document of each group of near copies stays: shingles of five words, a similarity of 0.8 or more."""
     ready(spark)
-    return simhash.one_of_each(docs, width=5, radius=4)
+    return simhash.one_of_each(docs, width=5, similarity=0.8)
 
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -148,7 +148,7 @@ from n left join g using (doc_id) left join k using (doc_id)
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2)
-    return found.select("doc_id", hex_of("fp").alias("fingerprint"), "component_id")
+    return found.select("doc_id", hex_of("fp0").alias("fingerprint"), "component_id")
 
 
 def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
