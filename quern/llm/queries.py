@@ -127,14 +127,19 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), text("removed").alias("removed_lines"), text("kept_in").alias("kept_in"))
 
 
-OP9_SQL = """
+OP9_SQL = r"""
 with recursive l as (
   select doc_id, i - 1 as pos, trim(lines[i], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) as line
   from (select doc_id, lines, unnest(range(1, len(lines) + 1)) as i from (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents))),
 e as (select * from l where length(line) >= 40),
 d as (select line, min({'doc_id': doc_id, 'pos': pos}) as first from e group by line),
-links as (
-  select a.line as x, b.line as y from d a join d b on a.line <> b.line and abs(length(a.line) - length(b.line)) <= 2 and levenshtein(a.line, b.line) <= 2),
+cand as (  -- levenshtein() counts bytes, of which a character has four at most
+  select a.line as x, b.line as y from d a join d b on a.line < b.line and abs(length(a.line) - length(b.line)) <= 2 and levenshtein(a.line, b.line) <= 8),
+coded as (  -- each character of a pair as one byte
+  select x, y, array_to_string(c, '') as old, array_to_string(list_transform(range(1, len(c) + 1), lambda i: chr(cast(i as integer))), '') as new
+  from (select x, y, list_distinct(regexp_extract_all(x || y, '(?s).')) as c from cand)),
+near as (select x, y from coded where levenshtein(translate(x, old, new), translate(y, old, new)) <= 2),
+links as (select x, y from near union all select y, x from near),
 reach as (select line as x, line as y from d union select reach.x, links.y from reach join links on reach.y = links.x),
 classes as (select reach.x as line, min(d.first) as first from reach join d on d.line = reach.y group by reach.x),
 gone as (select e.doc_id, e.pos, c.first.doc_id as kept_in from e join classes c using (line) where c.first.doc_id <> e.doc_id or c.first.pos <> e.pos),
