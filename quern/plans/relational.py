@@ -231,3 +231,44 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     fresh = F.when(F.col("ts") - F.lag("ts").over(by_user) <= F.expr("interval 30 minutes"), 0).otherwise(1)
     rows = table(spark, sf_dir, "events").withColumn("fresh", fresh).withColumn("s", F.sum("fresh").over(by_user))
     return rows.groupBy("user_id", "s").agg(F.min("ts").alias("start"), F.count("*").alias("n")).drop("s")
+
+
+@query("""
+select a.o_orderkey, count(*) as n_recent, round(sum(b.o_totalprice), 2) as recent
+from orders a join orders b on a.o_custkey = b.o_custkey and b.o_orderdate between a.o_orderdate - interval 90 day and a.o_orderdate
+group by a.o_orderkey
+""")
+def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a customer ordered in the 90 days up to each order: a range frame, where a join would meet all pairs of a customer."""
+    seconds = F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
+    recent = Window.partitionBy("o_custkey").orderBy(seconds).rangeBetween(-90 * 86_400, 0)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.count("*").over(recent).alias("n_recent"), F.round(F.sum("o_totalprice").over(recent), 2).alias("recent"))
+
+
+@query("""
+select r_name, n_name, cast(count(*) as bigint) as n, round(sum(c_acctbal), 2) as balance
+from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by rollup (r_name, n_name)
+""")
+def rollup_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.rollup("r_name", "n_name").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+_DAYS = """
+with recursive days(day) as (select cast('2024-01-01' as date) union all select cast(day + interval '1' day as date) from days where day < cast('2024-01-30' as date))
+select day, count(event_id) as n from days left join {events} as e on cast(e.ts as date) = day and e.event_type = 'error' group by day
+"""
+
+
+@query(_DAYS.replace("{events}", "events"))
+def recursive_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, _DAYS, "events")
+
+
+@query("""
+select vec_id, label, round(list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double))), 4) as norm, cast(len(embedding) as bigint) as n
+from embeddings
+""")
+def array_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.round(square, 4).alias("norm"), F.size("embedding").cast("long").alias("n"))
