@@ -107,7 +107,7 @@ def full_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SETS = """
 select cast(grouping(event_type) * 2 + grouping(day) as bigint) as level, event_type, day, count(*) as n, round(sum(value), 2) as value
-from (select event_type, cast(ts as date) as day, value from {events}) as x group by grouping sets ((event_type, day), (event_type), ())
+from (select event_type, cast(cast(ts as date) as string) as day, value from {events}) as x group by grouping sets ((event_type, day), (event_type), ())
 """
 
 
