@@ -48,19 +48,20 @@ class ChunkEncoder:
             self.chunks.clear()
         if len(self.parts) > self.max_chunks // 2:
             self.parts.clear()
-        parts, tokenize, own = self.parts, self.model.tokenize, self.chunks
-        for x in missing:
-            found = _PARTS.findall(x)
-            if not found or sum(map(len, found)) != len(x):  # not only of parts that surely are pre-tokens
-                own[x] = self.whole(" " + x)
-                continue
-            found[0] = " " + found[0]
-            ids = b""
-            for part in found:
-                if (known := parts.get(part)) is None:
-                    known = parts[part] = array("I", [t.id for t in tokenize(part.encode().decode("latin-1").translate(_PRINTED))]).tobytes()
-                ids += known
-            own[x] = ids
+        self.chunks.update((x, self._chunk(x, " ")) for x in missing)
+
+    def _chunk(self, x: str, lead: str) -> bytes:
+        """The ids of lead (a space or nothing) and x."""
+        found = _PARTS.findall(x)
+        if not found or sum(map(len, found)) != len(x):  # not only of parts that surely are pre-tokens
+            return self.whole(lead + x)
+        found[0] = lead + found[0]
+        ids = b""
+        for part in found:
+            if (known := self.parts.get(part)) is None:
+                known = self.parts[part] = array("I", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(_PRINTED))]).tobytes()
+            ids += known
+        return ids
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -74,7 +75,7 @@ class ChunkEncoder:
         for text in texts:  # one by one, so that its chunks don't leave the processor's cache
             pieces = _CUT.split(text) if _ODD_SPACE.search(text) else text.split(" ")
             ids = list(map(get, pieces))
-            ids[0] = self.whole(pieces[0]) if pieces[0] else b""  # the first has no space before it
+            ids[0] = self._chunk(pieces[0], "") if pieces[0] else b""  # the first has no space before it
             if holes := [(n, pieces[n]) for n, y in enumerate(ids) if y is None]:
                 later.append((len(out), ids, holes))
                 out.append(b"")

@@ -31,7 +31,8 @@ def test_chunks_encode_as_whole_texts(text):
 def test_small_cache_is_exact():
     enc = ChunkEncoder(PATH, max_chunks=10)
     texts = [f"some words {i} and {i * 7} more, or it's less.\nLine" for i in range(50)]
-    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode_batch(texts)] == [whole(t) for t in texts]
+    for _ in range(3):
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode_batch(texts)] == [whole(t) for t in texts]
 
 
 @settings(max_examples=100, deadline=None)
