@@ -49,32 +49,51 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def ngrams(words: list[bytes], salt: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each order from 1: the hashes of the n-grams that end at each character, of their contexts (all but the last
-    character) and suffixes (all but the first), whether they start a word, and each one's word. Only n-grams within a word count.
+def hashed(words: list[bytes], salt: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Over the characters of all words with their marks: for each k the hashes of the k characters that end there, each
+    one's place in its word, its word. Only the first place + 1 of them lie within the word.
     """
     codes = np.frombuffer("".join("\x01" + w.decode("utf-8", "replace") + "\x02" for w in words).encode("utf-32-le"), "<u4").astype(np.uint64)
     starts = np.flatnonzero(codes == BEGIN)
     if len(starts) != len(words):  # a word that holds the mark itself
-        words = [w.replace(b"\x01", b"?") for w in words]
-        codes = np.frombuffer("".join("\x01" + w.decode("utf-8", "replace") + "\x02" for w in words).encode("utf-32-le"), "<u4").astype(np.uint64)
-        starts = np.flatnonzero(codes == BEGIN)
+        return hashed([w.replace(b"\x01", b"?") for w in words], salt)
     own = np.repeat(np.arange(len(words)), np.diff(np.append(starts, len(codes))))
     within = np.arange(len(codes)) - starts[own]
     char = _mix((codes + np.uint64(1)) * _P)
     seed = _mix(np.array([salt + 1], np.uint64) * _P)[0]
-    # hash of the k characters that end at i, from that of the k - 1 before it
     last = np.full(len(codes), seed)
     hashes = [last]
-    for _ in range(ORDER):
+    for _ in range(ORDER):  # from the hash of the k - 1 characters that end one before
         shifted = np.empty_like(last)
-        shifted[0], shifted[1:] = seed, last[:-1]
+        shifted[:1], shifted[1:] = seed, last[:-1]
         last = _mix(shifted * _P + char)
         hashes.append(last)
-    for k in range(1, ORDER + 1):
-        at = np.flatnonzero((within >= max(k - 1, 1)))  # the begin mark is context only
-        context = hashes[k - 1][at - 1] if k > 1 else np.full(len(at), seed)
-        yield k, hashes[k][at], context, hashes[k - 1][at] if k > 1 else np.full(len(at), seed), within[at] == k - 1, own[at]
+    return hashes, within, own
+
+
+def counted(words: list[bytes], weight: np.ndarray, salt: int) -> dict[int, tuple[np.ndarray, ...]]:
+    """For each order the n-grams within words: hash, that of the context (all but the last character) and of the suffix (all
+    but the first), whether it starts a word, how often it occurs.
+
+    N-grams of an order are the suffixes of those of the next, which are distinct already, and those that start a word.
+    """
+    hashes, within, own = hashed(words, salt)
+    out = {}
+    at = np.flatnonzero(within >= ORDER - 1)
+    n = weight[own[at]]
+    for k in range(ORDER, 0, -1):
+        if len(at):
+            order = np.argsort(hashes[k][at])
+            at, n = at[order], n[order]
+            key = hashes[k][at]
+            new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            at, n = at[new], np.add.reduceat(n, new)
+        before = hashes[k - 1]  # of no characters for k = 1: the same everywhere
+        out[k] = (hashes[k][at], before[np.maximum(at - 1, 0)], before[at], within[at] == k - 1, n)
+        if k > 2:  # the begin mark alone is no n-gram
+            first = np.flatnonzero(within == k - 2)
+            at, n = np.concatenate([at, first]), np.concatenate([n, weight[own[first]]])
+    return out
 
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
@@ -89,8 +108,8 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
                 names_, weight = list(words), np.fromiter(words.values(), np.int64, len(words))
                 found: dict[int, list[tuple[np.ndarray, ...]]] = {}
                 for s in range(0, len(names_), SLICE):
-                    for k, *columns, own in ngrams(names_[s : s + SLICE], salt_of(lang)):
-                        found.setdefault(k, []).append(_added(columns, weight[s + own]))
+                    for k, columns in counted(names_[s : s + SLICE], weight[s : s + SLICE], salt_of(lang)).items():
+                        found.setdefault(k, []).append(columns)
                 for k, parts in found.items():
                     key, context, suffix, begins, n = _added([np.concatenate(x) for x in zip(*(p[:4] for p in parts), strict=True)], np.concatenate([p[4] for p in parts])) if len(parts) > 1 else parts[0]
                     if len(key):
@@ -112,8 +131,12 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
 
 def _added(columns: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, ...]:
     """Columns, of which the first is a key of the others, with a row for each key, and the sums of n."""
-    key, first, back = np.unique(columns[0], return_index=True, return_inverse=True)
-    return key, *(c[first] for c in columns[1:]), np.bincount(back, weights=n, minlength=len(key)).astype(np.int64)
+    if not len(columns[0]):
+        return *columns, n
+    order = np.argsort(columns[0])
+    key = columns[0][order]
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[new], *(c[order[new]] for c in columns[1:]), np.add.reduceat(n[order], new)
 
 
 def salt_of(lang: str) -> int:
@@ -178,35 +201,25 @@ class Scorer:
     def words(self, lang: str, words: list[bytes]) -> np.ndarray:
         """Of each word with its end: from the longest n-gram that was seen, by way of the back-off weights of longer contexts."""
         keys, logp, weight, unseen = self.models[lang]
-        levels = list(ngrams(words, salt_of(lang)))
-        n = len(levels[0][1])
-        places = [np.zeros(n, bool) for _ in levels]
-        full, ctx = [np.zeros(n, np.uint64) for _ in levels], [np.zeros(n, np.uint64) for _ in levels]
-        own = levels[0][5]
-        # Level k lacks the first k - 2 characters of each word: it lies at the end of each word's stretch.
-        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        within = np.arange(n) - first[own] + 1
-        for i, (k, key, context, *_) in enumerate(levels):
-            at = np.flatnonzero(within >= max(k - 1, 1))
-            places[i][at], full[i][at], ctx[i][at] = True, key, context
-        out, todo = np.zeros(n), np.arange(n)
-        for i in range(len(levels) - 1, -1, -1):
-            mine = todo[places[i][todo]]
-            if not len(mine):
-                continue
-            at = np.minimum(np.searchsorted(keys, full[i][mine]), len(keys) - 1)
-            seen = keys[at] == full[i][mine]
+        hashes, within, own = hashed(words, salt_of(lang))
+        n = len(own)
+        out, todo = np.zeros(n), np.flatnonzero(within >= 1)
+        for k in range(ORDER, 0, -1):
+            whole = within[todo] >= k - 1
+            mine, rest = todo[whole], todo[~whole]
+            full = hashes[k][mine]
+            at = np.minimum(np.searchsorted(keys, full), len(keys) - 1)
+            seen = keys[at] == full
             out[mine[seen]] += logp[at[seen]]
-            rest = mine[~seen]
-            if i:
-                c = np.minimum(np.searchsorted(keys, ctx[i][rest]), len(keys) - 1)
-                ok = keys[c] == ctx[i][rest]
-                out[rest[ok]] += weight[c[ok]]
+            mine = mine[~seen]
+            if k == 1:
+                out[mine] += unseen
             else:
-                out[rest] += unseen
-            done = np.zeros(n, bool)
-            done[mine[seen]] = True
-            todo = todo[~done[todo]]
+                context = hashes[k - 1][mine - 1]
+                at = np.minimum(np.searchsorted(keys, context), len(keys) - 1)
+                known = keys[at] == context
+                out[mine[known]] += weight[at[known]]
+                todo = np.concatenate([rest, mine])
         return np.bincount(own, weights=out, minlength=len(words))
 
     def texts(self, langs: list[str], texts: list[list[bytes]]) -> list[float]:
