@@ -2,10 +2,12 @@
 
 Token scores are log-odds of toxic against clean documents with an informative Dirichlet prior
 (the words' shares in both). A document counts each of its words once, and copies of a labelled
-text count once, so that neither a long nor a copied text makes a word toxic by itself. Words whose log-odds do not stand out from chance, given how many words
-are looked at, are pooled and share the log-odds of their pool. So scores are log-likelihood
-ratios: they are negative on average over clean text, and of the scores' exponential decay
-(Karlin and Altschul's lambda) is 1. All maximal segments of a document are found in one pass
+text count once, so that neither a long nor a copied text makes a word toxic by itself. Beginnings of words (of STEM bytes
+or more) are counted as words are, so that inflected forms add up; a word scores as that of its tokens (itself and its
+beginnings) whose log-odds stand out most. Every token has a score: log-odds are shrunk smoothly by what chance explains,
+given how many tokens are looked at, and none is set apart. Counts are held by hash, in a table of a fixed size. A constant
+is taken off, so that the mean of exp(score) over clean text is 1: scores are then negative on average, and their exponential
+decay (Karlin and Altschul's lambda) is 1. Labelled documents are scored with their own counts left out. All maximal segments of a document are found in one pass
 (Ruzzo and Tompa); those whose expected number in clean text of the document's length is small
 are its toxic passages. A logistic fit over what these say turns them into a probability.
 
@@ -31,9 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of
+from .common import bytes_of, dropped, stored
 from .decontam import words_of
 
+#: Bytes of the shortest beginning of a word that is counted.
+STEM = 4
+#: Places of the table of counts; of a fixed size, whatever the labels.
+BUCKETS = 1 << 22
+#: Words whose scores a task keeps.
+KNOWN = 500_000
 #: Strength of the prior: its words for each word of the smaller class.
 PRIOR = 1.0
 #: Expected number of segments in clean text of a document's length, below which one is significant.
@@ -42,26 +50,91 @@ SIGNIFICANT = 0.05
 
 @dataclass
 class Model:
-    scores: dict[bytes, float] = field(default_factory=dict)
-    pooled: float = -0.01
+    scores: dict[bytes, float] = field(default_factory=dict)  # of words that stand out by themselves; all others' come from the counts
+    pooled: float = -0.01  # of words of which no token was counted
     k: float = 1.0
     weights: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
     bias: float = -20.0
+    counts: bytes = b""  # toxic and clean documents by bucket, as int32
+    totals: tuple[int, int, int] = (0, 0, 0)  # tokens, and their sums over toxic and over clean documents
+    shift: float = 0.0
+
+
+def tokens_of(word: bytes) -> list[bytes]:
+    """The word and its beginnings, cut between characters."""
+    return [word, *(word[:n] + b"*" for n in range(STEM, len(word)) if word[n] & 0xC0 != 0x80)]
+
+
+def buckets_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words' tokens, and where each word's start."""
+    from xxhash import xxh3_64_intdigest
+
+    tokens = list(map(tokens_of, words))
+    size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    flat = [xxh3_64_intdigest(t) % BUCKETS for own in tokens for t in own]
+    return np.array(flat, np.int64), np.cumsum(size) - size
+
+
+def log_odds(toxic, clean, n_toxic: int, n_clean: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds with the prior, whose words are spread as those of both classes, and their distance from 0 in standard errors."""
+    strength = PRIOR * min(n_toxic, n_clean)
+    prior = strength * (toxic + clean) / (n_toxic + n_clean)
+    a, b = toxic + prior, clean + prior
+    delta = np.log(a / (n_toxic + strength)) - np.log(b / (n_clean + strength))
+    return delta, np.abs(delta) / np.sqrt(1 / a + 1 / b)
+
+
+class Scorer:
+    """Scores of words; those of words that were met are kept."""
+
+    def __init__(self, model: Model):
+        self.model, self.known = model, dict(model.scores)
+        self.toxic, self.clean = np.frombuffer(model.counts, np.int32).reshape(2, -1) if model.counts else (None, None)
+
+    def fresh(self, words: list[bytes], own: tuple[int, int] = (0, 0)) -> list[float]:
+        """From the counts, less those of a document (toxic, clean) that is one of the counted."""
+        m = self.model
+        if self.toxic is None or not words:
+            return [m.pooled - m.shift] * len(words)
+        at, starts = buckets_of(words)
+        toxic, clean = (np.maximum(0, x[at] - less).astype(float) for x, less in zip((self.toxic, self.clean), own, strict=True))
+        met = toxic + clean > 0
+        delta, z = (np.where(met, x, 0) for x in log_odds(np.where(met, toxic, 1), np.where(met, clean, 1), *m.totals[1:]))
+        top = np.maximum.reduceat(z, starts)
+        size = np.diff(np.append(starts, len(at)))
+        best = np.flatnonzero((z == np.repeat(top, size)) & (met | (np.repeat(top, size) == 0)))
+        word = np.repeat(np.arange(len(words)), size)[best]
+        first = best[np.unique(word, return_index=True)[1]]
+        score = delta[first] * top**2 / (top**2 + 2 * math.log(m.totals[0] + 10))
+        return (np.where(np.logical_or.reduceat(met, starts), score, m.pooled) - m.shift).tolist()
+
+    def __call__(self, words: list[bytes]) -> list[float]:
+        values = list(map(self.known.get, words))
+        if None in values:
+            missing = list({w for w, v in zip(words, values, strict=True) if v is None})
+            if len(self.known) + len(missing) > KNOWN:
+                self.known = dict(self.model.scores)
+            new = dict(zip(missing, self.fresh(missing), strict=True))
+            self.known.update(new)
+            values = [new[w] if v is None else v for w, v in zip(words, values, strict=True)]
+        return values
 
 
 def segments(words: list[bytes], model: Model) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, score), in one pass over the words that have a score of their own."""
-    scores, pooled = model.scores, model.pooled
+    """All maximal scoring segments (start, end, score) of words."""
+    return maximal(Scorer(model)(words))
+
+
+def maximal(values: list[float]) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (start, end, score), in one pass."""
     # Candidates as start, end, sum before the start, sum at the end, index of the last one with a lesser sum before.
     left: list[int] = []
     right: list[int] = []
     before: list[float] = []
     upto: list[float] = []
-    total, last = 0.0, 0
-    for i in [i for i, w in enumerate(words) if w in scores]:
-        s = scores[words[i]]
-        total += (i - last) * pooled
-        last = i + 1
+    less: list[int] = []
+    total = 0.0
+    for i, s in enumerate(values):
         if s > 0:
             lo, low = i, total
             total += s
@@ -69,15 +142,16 @@ def segments(words: list[bytes], model: Model) -> list[tuple[int, int, float]]:
             while True:
                 j = len(left) - 1
                 while j >= 0 and before[j] >= low:
-                    j -= 1
+                    j = less[j]
                 if j < 0 or upto[j] >= high:
                     break
                 lo, low = left[j], before[j]
-                del left[j:], right[j:], before[j:], upto[j:]
+                del left[j:], right[j:], before[j:], upto[j:], less[j:]
             left.append(lo)
             right.append(hi)
             before.append(low)
             upto.append(high)
+            less.append(j)
         else:
             total += s
     return [(a, b, y - x) for a, b, x, y in zip(left, right, before, upto, strict=True)]
@@ -108,9 +182,10 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 30) -> tuple[tuple[float
     return tuple(w[:-1].tolist()), float(w[-1])
 
 
-def score(model: Model, words: list[bytes]) -> tuple[float, list[tuple[int, int, float]]]:
+def score(scorer: Scorer, words: list[bytes]) -> tuple[float, list[tuple[int, int, float]]]:
     """Probability that a document is toxic, and its significant passages."""
-    found = segments(words, model)
+    model = scorer.model
+    found = maximal(scorer(words))
     x = evidence(len(words), found, model.k)
     p = 1 / (1 + math.exp(-min(30, max(-30, model.bias + sum(a * b for a, b in zip(model.weights, x, strict=True))))))
     chance = math.log(model.k * max(len(words), 1))
@@ -149,38 +224,72 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Model:
     if not n_toxic or not n_clean:
         share = known.agg(F.avg((F.col("toxic") > 0).cast("int"))).first()[0] or 0.0
         return Model(bias=math.log(max(share, 1e-9) / max(1 - share, 1e-9)))
-    # The prior's words are spread as the words of both classes. Only words that stand out come to the driver.
+    # Only words that stand out by themselves come to the driver with their text.
     strength = PRIOR * min(n_toxic, n_clean)
     prior = strength * (F.col("toxic") + F.col("clean")) / (n_toxic + n_clean)
     a, b = F.col("toxic") + prior, F.col("clean") + prior
     delta = F.log(a / (n_toxic + strength)) - F.log(b / (n_clean + strength))
     least = math.sqrt(2 * math.log(n_words + 10))
-    found = words.withColumn("delta", delta).filter(F.abs(F.col("delta") / F.sqrt(1 / a + 1 / b)) > least).collect()
-    rest = np.array([n_toxic - sum(r["toxic"] for r in found), n_clean - sum(r["clean"] for r in found)], float)
-    prior = strength * rest.sum() / (n_toxic + n_clean)
-    pooled = math.log((rest[0] + prior) / (n_toxic + strength)) - math.log((rest[1] + prior) / (n_clean + strength))
-    model = Model({bytes(r["word"]): r["delta"] for r in found}, min(pooled, -1e-3))
-    shared = spark.sparkContext.broadcast(model)
+    alone = words.filter(F.abs(delta / F.sqrt(1 / a + 1 / b)) > least).select("word").collect()
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros((2, BUCKETS), np.int32)
         for b in batches:
-            out = []
             for text, toxic in zip(bytes_of(b), b.column("toxic").to_pylist(), strict=True):
+                own[0 if toxic > 0 else 1, np.unique(buckets_of(list(set(words_of(text))))[0])] += 1
+        at = np.flatnonzero(own.any(axis=0))
+        for i in range(0, len(at), 200_000):
+            part = at[i : i + 200_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *(pa.array(x[part].astype(np.int64)) for x in own)], ["bucket", "toxic", "clean"])
+
+    by_bucket = distinct.mapInArrow(count_tokens, "bucket int, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").cast("int").alias("toxic"), F.sum("clean").cast("int").alias("clean")).toArrow()  # BUCKETS rows at most
+    table = np.zeros((2, BUCKETS), np.int32)
+    for x, c in zip(table, ("toxic", "clean"), strict=True):
+        x[by_bucket.column("bucket").to_numpy()] = by_bucket.column(c).to_numpy()
+    totals = (by_bucket.num_rows, *(int(x.sum(dtype=np.int64)) for x in table))
+    # Words that weren't counted are as those that were met once: what share of each class they are.
+    once = table[:, table.sum(axis=0) == 1].sum(axis=1) + 1
+    pooled = math.log(once[0] / totals[1]) - math.log(once[1] / totals[2])
+    model = Model(pooled=min(pooled, -1e-3), counts=table.tobytes(), totals=totals)
+    shared = spark.sparkContext.broadcast(model)
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for b in batches:
+            out, toxic = [], [int(y > 0) for y in b.column("toxic").to_pylist()]
+            for text, y in zip(bytes_of(b), toxic, strict=True):
                 words = words_of(text)
-                found = segments(words, shared.value)
-                out.append((len(words), [s for _, _, s in found], int(toxic > 0)))
-            n, s, y = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(s, pa.list_(pa.float64())), pa.array(y, pa.int64())], ["n", "s", "y"])
-
-    sample = rows.mapInArrow(best, "n long, s array<double>, y long").collect()  # max_rows rows at most (more where a doc_id repeats)
-    n = np.array([max(1, r["n"]) for r in sample], float)
-    y = np.array([r["y"] for r in sample], float)
-    top = np.array([max(r["s"], default=0.0) for r in sample])
+                known = list(set(words))
+                known = dict(zip(known, scorer.fresh(known, (y, 1 - y)), strict=True))
+                out.append([known[w] for w in words])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.float64())), pa.array(toxic, pa.int64())], ["v", "y"])
+
+    sample = stored(rows.mapInArrow(values, "v array<double>, y long"), "values")  # max_rows rows at most (more where a doc_id repeats)
+
+    def gathered(of, names: list[str]) -> np.ndarray:
+        """What a function says of each sampled document's scores and label, in an order of its own."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out = [of(np.array(v, float), y) for v, y in zip(b.column("v").to_pylist(), b.column("y").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([r[i] for r in out], float)) for i in range(len(names))], names)
+
+        t = sample.mapInArrow(run, ", ".join(f"{c} double" for c in names)).toArrow()
+        x = np.stack([t.column(c).to_numpy() for c in names], axis=1)
+        return x[np.lexsort(x.T[::-1])]
+
+    n, total, y = gathered(lambda v, y: (len(v), np.exp(v).sum(), y), ["n", "total", "y"]).T
+    clean = y == 0
+    model.shift = shift = math.log(math.fsum(total[clean]) / n[clean].sum()) if n[clean].sum() else 0.0
+    top, n, y = gathered(lambda v, y: (max((s for *_, s in maximal((v - shift).tolist())), default=0.0), max(1, len(v)), y), ["top", "n", "y"]).T
     # Of clean documents the expected number of segments as good as the best is exponential, with a median of log 2.
     median = np.median((n * np.exp(-top))[y == 0])
-    model.k = float(math.log(2) / max(median, 1e-9))
-    x = np.array([evidence(r["n"], [(0, 0, s) for s in r["s"]], model.k) for r in sample])
-    model.weights, model.bias = logistic(x, y)
+    model.k = k = float(math.log(2) / max(median, 1e-9))
+    x = gathered(lambda v, y: (*evidence(len(v), maximal((v - shift).tolist()), k), y), ["any", "best", "sum", "beyond", "y"])
+    model.weights, model.bias = logistic(x[:, :-1], x[:, -1])
+    dropped(sample)
+    mine = [bytes(r["word"]) for r in alone]
+    model.scores = dict(sorted(zip(mine, Scorer(model).fresh(mine), strict=True)))
     return model
 
 
@@ -190,8 +299,9 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
         for b in batches:
-            out = [score(shared.value, words_of(t)) for t in bytes_of(b)]
+            out = [score(scorer, words_of(t)) for t in bytes_of(b)]
             passages = [[{"start": lo, "end": hi, "score": s} for lo, hi, s in p] for _, p in out]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([p for p, _ in out], pa.float64()), pa.array(passages, kind)], ["doc_id", "score", "passages"])
 
@@ -204,7 +314,8 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> Data
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
         for b in batches:
-            yield b.filter(pa.array([score(shared.value, words_of(t))[0] < threshold for t in bytes_of(b)], pa.bool_()))
+            yield b.filter(pa.array([score(scorer, words_of(t))[0] < threshold for t in bytes_of(b)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

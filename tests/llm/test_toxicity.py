@@ -86,3 +86,17 @@ def test_without_labels(spark):
     rows = toxicity.score_documents(df, toxicity.fit(df, none)).collect()
     assert len(rows) == len(ODD) and all(r["score"] < 0.5 for r in rows)
     assert toxicity.score_documents(df.limit(0), Model()).count() == 0
+
+
+def test_inflected_forms_add_up(spark):
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    common = [word() for _ in range(200)]
+    rows = [(i, " ".join([*r.choices(common, k=60), *(["grolk" + word() for _ in range(4)] if i % 4 == 0 else [])])) for i in range(800)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    df = docs(spark, rows)
+    model = toxicity.fit(df, labels)
+    assert not model.scores  # no form of the word stands out by itself
+    got = {x["doc_id"]: x["score"] >= 0.5 for x in toxicity.score_documents(df, model).collect()}
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum(got[i] != (i % 4 == 0) for i in held) <= 2
