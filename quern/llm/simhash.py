@@ -13,7 +13,8 @@ in a leaf, or between two, a spanning forest is kept, which joins the same compo
 
 A fingerprint may have several words of 64 bits, for similarities (rather than bits) as the measure:
 256 bits tell a Jaccard similarity to about 0.03. No blocks are exact for such a radius; the default
-ones (20 of 13 bits) bring together about 93 % of pairs at a similarity of 0.8, and 99.6 % at 0.9.
+ones (40 of 13 bits) bring together about 99.5 % of pairs at a similarity of 0.8. They find candidates only: the similarity
+itself is taken from the sets of shingles.
 
 Nulls, ties, empties: null and empty texts have no words and fingerprint zero, linked like any
 other; texts of fewer words than a shingle have one shingle of them all; repeated rows and equal
@@ -42,6 +43,15 @@ LEAF = 64
 _SHIFTS = np.arange(63, -1, -1, dtype=np.uint64)
 
 
+def shingles(text: bytes, width: int) -> np.ndarray:
+    """Distinct hashes of the shingles, ascending."""
+    from xxhash import xxh64_intdigest
+
+    found = [w for w in text.translate(_WORDS).split(b" ") if w]
+    n = max(1, len(found) - width + 1) if found else 0
+    return np.unique(np.fromiter((xxh64_intdigest(b" ".join(found[i : i + width]), 42) for i in range(n)), np.uint64, n))
+
+
 def fingerprint(text: bytes, width: int = 3, words: int = 1) -> np.ndarray:
     """64 bits for each of so many words. A bit is 1 if it is set in over half the hashes of the shingles, repeats included."""
     from xxhash import xxh64_intdigest
@@ -251,16 +261,23 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, words: int
     Without ``blocks`` those are taken in which any two fingerprints of one word within the radius agree. With others, links
     between fingerprints that agree in none of them are missed.
     """
-    blocks = blocks or [(0, m) for m in blocks_of(radius)]
     names = [f"fp{w}" for w in range(words)]
-    node = F.col("fp0") if words == 1 else F.xxhash64(*names)
-    fps = stored(fingerprints(docs, width, words).withColumn("node", node), "fingerprints")
-    classes = stored(fps.groupBy("node", *names).agg(F.min("doc_id").alias("first")), "classes")
+    fps = _noded(fingerprints(docs, width, words), names)
+    return _with_components(fps, names, radius, blocks or [(0, m) for m in blocks_of(radius)]).select("doc_id", *names, "component_id")
+
+
+def _noded(fps: DataFrame, names: list[str]) -> DataFrame:
+    return stored(fps.withColumn("node", F.col("fp0") if len(names) == 1 else F.xxhash64(*names)), "fingerprints")
+
+
+def _with_components(fps: DataFrame, names: list[str], radius: int, blocks: list[tuple[int, int]], label: str = "doc_id") -> DataFrame:
+    """fps with component_id, the least label that can be reached."""
+    classes = stored(fps.groupBy("node", *names).agg(F.min(label).alias("first")), "classes")
     edges = stored(links(classes.select("node", *names), radius, blocks), "links")
     # Stored, so that the join below has plain exchanges on both sides and may split a fingerprint that many documents share.
     joined = stored(components(classes.select("node", F.col("first").alias("label")), edges), "components")
     dropped(classes, edges)
-    return fps.join(joined.select("node", F.col("label").alias("component_id")), "node").select("doc_id", *names, "component_id")
+    return fps.join(joined.select("node", F.col("label").alias("component_id")), "node")
 
 
 def hex_of(fp: str) -> F.Column:
@@ -274,19 +291,57 @@ def similar_blocks(words: int, each: int = 5) -> list[tuple[int, int]]:
 
 
 def similar_radius(words: int, similarity: float) -> int:
-    """Bits that differ where sets of shingles have that Jaccard similarity: as many as expected, and a standard deviation more."""
+    """Bits that differ where sets of shingles have that Jaccard similarity: as many as expected, and three standard deviations more."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(64 * words * share + math.sqrt(64 * words * share * (1 - share)))
+    return round(64 * words * share + 3 * math.sqrt(64 * words * share * (1 - share)))
 
 
-def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 4) -> DataFrame:
-    """Of each group of documents that are so similar the one with the smallest doc_id, in all its columns.
+def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 8) -> DataFrame:
+    """The documents, in all their columns, without those that are so similar to one that stays.
 
-    The similarity is that of fingerprints of 64 * words bits. Of rows that repeat a doc_id one stays.
+    Fingerprints of 64 * words bits find candidates; in each of their components documents are taken by doc_id (null last), and
+    one goes if the Jaccard similarity of its set of shingles to that of one kept before is high enough. Of rows that repeat a
+    doc_id and text one stays; rows are told apart by both.
     """
-    found = near_duplicates(docs, width, similar_radius(words, similarity), words, similar_blocks(words))
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    rows = docs.join(gone, "doc_id", "left_anti")
-    if found.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        rows = rows.dropDuplicates(["doc_id"])
-    return rows.select(docs.columns)
+    names = [f"fp{w}" for w in range(words)]
+    rows = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), "text"))
+    own = rows.select(F.col("_row").alias("doc_id"), "text")
+    fps = _noded(fingerprints(own, width, words).distinct(), names)
+    found = stored(_with_components(fps, names, similar_radius(words, similarity), similar_blocks(words)).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")), "groups")
+    many = found.groupBy("_group").count().filter("count > 1").select("_group")
+    alike = found.join(many, "_group", "left_semi").join(rows.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text").dropDuplicates(["_row"]), "_row")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t, width).view(np.int64) for t in bytes_of(b)]
+            yield pa.RecordBatch.from_arrays([b.column("_group"), b.column("doc_id"), b.column("_row"), pa.array(sets, pa.list_(pa.int64()))], ["_group", "doc_id", "_row", "sets"])
+
+    def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Of a component only what stays is held, by shingle.
+        now, sizes, holders = None, [], {}
+        for b in batches:
+            gone = []
+            sets = b.column("sets")
+            for n, (group, row) in enumerate(zip(b.column("_group").to_pylist(), b.column("_row").to_pylist(), strict=True)):
+                if group != now:
+                    now, sizes, holders = group, [], {}
+                mine = sets[n].values.to_numpy().tolist()
+                common: dict[int, int] = {}
+                for h in mine:
+                    for k in holders.get(h, ()):
+                        common[k] = common.get(k, 0) + 1
+                if (not mine and 0 in sizes) or any(c >= similarity * (len(mine) + sizes[k] - c) for k, c in common.items()):
+                    gone.append(row)
+                else:
+                    for h in mine:
+                        holders.setdefault(h, []).append(len(sizes))
+                    sizes.append(len(mine))
+            yield pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], ["_row"])
+
+    sets = alike.select("_group", "doc_id", "_row", "text").mapInArrow(hashed, "_group long, doc_id long, _row long, sets array<long>")
+    sets = sets.repartition("_group").sortWithinPartitions("_group", F.col("doc_id").asc_nulls_last(), "_row")
+    gone = stored(sets.mapInArrow(repeats, "_row long"), "repeats")
+    left = rows.join(gone, "_row", "left_anti")
+    if rows.groupBy("_row").count().filter("count > 1").limit(1).count():
+        left = left.dropDuplicates(["_row"])
+    return left.select(docs.columns)

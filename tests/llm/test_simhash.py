@@ -132,3 +132,14 @@ def test_similar_documents(spark):
     assert set(range(60)) <= left
     assert len({i for i in left if 1000 <= i < 2000}) <= 1 and len({i for i in left if 2000 <= i < 3000}) <= 6
     assert len({i for i in left if i >= 3000}) >= 59
+
+
+def test_what_goes_is_similar_to_what_stays(spark):
+    r = random.Random(22)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(5))
+    passage = [word() for _ in range(12)]
+    # Fingerprints count repeats: these share one passage, repeated, and have most distinct shingles of their own.
+    texts = [(i, " ".join(passage * 40 + [word() for _ in range(60)])) for i in range(30)]
+    assert simhash.distance(simhash.fingerprint(texts[0][1].encode(), 5, 8) ^ simhash.fingerprint(texts[1][1].encode(), 5, 8)) <= simhash.similar_radius(8, 0.8)
+    texts.append((100, texts[3][1] + " " + word()))
+    assert {x["doc_id"] for x in simhash.one_of_each(docs(spark, texts)).collect()} == set(range(30))
