@@ -39,8 +39,8 @@ CHUNK = 1 << 20
 STEP = 1 << 19
 #: Bits of the filter over lines whose text is needed; of a fixed size, whatever the input.
 FILTER_BITS = 1 << 26
-#: A document of which less is left is a copy.
-LEFT = 0.2
+#: A document of which less is left goes: with any character left, whatever its length, it stays.
+LEFT = 1e-12
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -300,13 +300,14 @@ def removed_lines(docs: DataFrame, least: int = 40, radius: int = 2) -> DataFram
 def without_lines(docs: DataFrame, least: int = 40, radius: int = 2, left: float = LEFT) -> DataFrame:
     """The documents without the lines that are removed, in all their columns (n_chars, if there, is kept in step).
 
-    Documents of which less than the share ``left`` of the characters is left, white space at lines' ends aside, go: they are copies.
+    Documents of which less than the share ``left`` of the characters is left, white space at lines' ends aside, go: by default
+    those without any line that isn't blank. So no line goes of which the kept one is not in a document that stays.
     """
     found = removed_lines(docs, least, radius).filter(F.size("removed") > 0).select(F.col("doc_id").alias("_gone_doc"), F.col("removed").alias("_gone")).dropDuplicates(["_gone_doc"])
     rows = docs.join(stored(found, "removed"), F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_doc")), "left")
     lines = F.split("text", "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    size = lambda x: F.aggregate(x, F.lit(0), lambda n, y: n + F.length(F.trim(y)))
+    size = lambda x: F.aggregate(x, F.lit(0), lambda n, y: n + F.length(F.btrim(y, F.lit(" \t\r\v\f"))))
     rows = rows.withColumn("_kept", F.when(F.col("_gone").isNotNull(), F.array_join(kept, "\n")))
     rows = rows.filter(F.col("_gone").isNull() | (size(kept) >= left * size(lines)))
     new = {"text": F.coalesce("_kept", "text")}

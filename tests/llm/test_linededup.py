@@ -136,3 +136,10 @@ def test_repeats_and_empty(spark):
     assert got == [(), (), (0,)]
     assert linededup.removed_lines(docs(spark, [])).count() == 0
     assert linededup.without_lines(docs(spark, [])).count() == 0
+
+
+def test_lines_that_are_kept_stay_in_the_corpus(spark):
+    shared = [f"shared line number {i} that stands in many of the documents" for i in range(20)]
+    own = "this line is in the second document and, again, in the third"
+    got = {r["doc_id"]: r["text"] for r in linededup.without_lines(docs(spark, [(1, "\n".join(shared)), (2, "\n".join([*shared, own])), (3, own + "\nshort"), (4, "\n".join(shared) + "\n\t")])).collect()}
+    assert got[2] == own and got[3] == "short" and 4 not in got
