@@ -13,7 +13,8 @@ stays.
 Lines of under ``least`` characters, white space around them aside, aren't compared and stay.
 
 Nulls, ties, empties: null and empty texts have no lines; lines are told apart by doc_id and
-line number, so that rows which repeat a doc_id keep or lose the same lines; a null doc_id
+line number, so that rows which repeat a doc_id keep or lose the same lines (but those of
+without_lines() also by text, so that rows which share a doc_id, or have none, lose only their own); a null doc_id
 comes before all others; an empty table gives no rows; columns other than doc_id and text are
 kept as they are.
 """
@@ -163,15 +164,15 @@ def within(a: str, b: str, radius: int) -> bool:
 
 
 def _lines(docs: DataFrame, least: int) -> DataFrame:
-    """doc_id, n_lines, at (line numbers), lines (hashes) of each document."""
+    """doc_id, same (a hash of the text), n_lines, at (line numbers), lines (hashes) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [eligible(t, least) for t in texts_of(b)]
             hashes = [[line_hash(x) for x in lines] for _, lines, _ in found]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([n for *_, n in found], pa.int64()), pa.array([at for at, *_ in found], pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))], ["doc_id", "n_lines", "at", "lines"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("same"), pa.array([n for *_, n in found], pa.int64()), pa.array([at for at, *_ in found], pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))], ["doc_id", "same", "n_lines", "at", "lines"])
 
-    return docs.mapInArrow(run, "doc_id long, n_lines long, at array<int>, lines array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("same"), "text").mapInArrow(run, "doc_id long, same long, n_lines long, at array<int>, lines array<long>")
 
 
 def _distinct(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[list[int], list[str]]]:
@@ -260,12 +261,12 @@ def _texts(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
 
 
 def line_classes(docs: DataFrame, least: int = 40, radius: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Two stored tables: doc_id, n_lines, at, lines of each document; and of each distinct line (line) the doc_id and line number
-    (first) of the first line of its class, and its number of links (links) to other lines.
+    """Two stored tables: doc_id, same, n_lines, at, lines of each document; and of each distinct line (line) the doc_id, line number
+    and text's hash (first) of the first line of its class, and its number of links (links) to other lines.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     by_doc = stored(_lines(rows, least), "lines")
-    each = by_doc.select("doc_id", F.explode(F.arrays_zip("at", "lines")).alias("x")).select(F.struct("doc_id", F.col("x.at").alias("at")).alias("first"), F.col("x.lines").alias("line"))
+    each = by_doc.select("doc_id", "same", F.explode(F.arrays_zip("at", "lines")).alias("x")).select(F.struct("doc_id", F.col("x.at").alias("at"), "same").alias("first"), F.col("x.lines").alias("line"))
     distinct = stored(each.groupBy("line").agg(F.min("first").alias("first")), "distinct")
     pairs = stored(_pairs(rows, least, radius), "pairs")
     ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct(), "ends")
@@ -285,13 +286,21 @@ def line_classes(docs: DataFrame, least: int = 40, radius: int = 2) -> tuple[Dat
     return by_doc, classes
 
 
+def _again(docs: DataFrame, least: int, radius: int, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Two stored tables: line_classes()'s first one; and doc_id, same, at, kept_in of each line that isn't, by these columns, its class's first."""
+    by_doc, classes = line_classes(docs, least, radius)
+    each = by_doc.select("doc_id", "same", F.explode(F.arrays_zip("at", "lines")).alias("x")).select("doc_id", "same", F.col("x.at").alias("at"), F.col("x.lines").alias("line"))
+    first = F.lit(True)
+    for c in by:
+        first = first & F.col(f"first.{c}").eqNullSafe(F.col(c))
+    again = each.join(classes, "line").filter(~first)
+    return by_doc, stored(again.select("doc_id", "same", "at", F.col("first.doc_id").alias("kept_in")), "again")
+
+
 def removed_lines(docs: DataFrame, least: int = 40, radius: int = 2) -> DataFrame:
     """doc_id, n_lines, removed (line numbers, ascending), kept_in (doc_ids that keep what was removed) of each document."""
-    by_doc, classes = line_classes(docs, least, radius)
-    each = by_doc.select("doc_id", F.explode(F.arrays_zip("at", "lines")).alias("x")).select("doc_id", F.col("x.at").alias("at"), F.col("x.lines").alias("line"))
-    again = each.join(classes, "line").filter(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.at") == F.col("at"))))
-    gone = stored(again.select("doc_id", "at", F.col("first.doc_id").alias("kept_in")), "again")
-    gone = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("removed"), F.array_sort(F.collect_set("kept_in")).alias("kept_in"))
+    by_doc, again = _again(docs, least, radius, ["doc_id", "at"])
+    gone = again.groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("removed"), F.array_sort(F.collect_set("kept_in")).alias("kept_in"))
     found = by_doc.select(F.col("doc_id"), "n_lines").alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left")
     empty = lambda c, t: F.coalesce(F.col(f"g.{c}"), F.expr(f"cast(array() as array<{t}>)")).alias(c)
     return found.select("d.doc_id", "n_lines", empty("removed", "int"), empty("kept_in", "bigint"))
@@ -303,8 +312,9 @@ def without_lines(docs: DataFrame, least: int = 40, radius: int = 2, left: float
     Documents of which less than the share ``left`` of the characters is left, white space at lines' ends aside, go: by default
     those without any line that isn't blank. So no line goes of which the kept one is not in a document that stays.
     """
-    found = removed_lines(docs, least, radius).filter(F.size("removed") > 0).select(F.col("doc_id").alias("_gone_doc"), F.col("removed").alias("_gone")).dropDuplicates(["_gone_doc"])
-    rows = docs.join(stored(found, "removed"), F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_doc")), "left")
+    _, again = _again(docs, least, radius, ["doc_id", "at", "same"])
+    found = again.groupBy(F.col("doc_id").alias("_gone_doc"), F.col("same").alias("_gone_same")).agg(F.array_sort(F.collect_set("at")).alias("_gone"))
+    rows = docs.join(stored(found, "removed"), F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_doc")) & (F.xxhash64("text") == F.col("_gone_same")), "left")
     lines = F.split("text", "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i))
     size = lambda x: F.aggregate(x, F.lit(0), lambda n, y: n + F.length(F.btrim(y, F.lit(" \t\r\v\f"))))

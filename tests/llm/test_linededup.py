@@ -143,3 +143,10 @@ def test_lines_that_are_kept_stay_in_the_corpus(spark):
     own = "this line is in the second document and, again, in the third"
     got = {r["doc_id"]: r["text"] for r in linededup.without_lines(docs(spark, [(1, "\n".join(shared)), (2, "\n".join([*shared, own])), (3, own + "\nshort"), (4, "\n".join(shared) + "\n\t")])).collect()}
     assert got[2] == own and got[3] == "short" and 4 not in got
+
+
+def test_rows_that_share_a_doc_id_lose_their_own_lines_only(spark):
+    a, b, c = (f"line {x} is long enough to be compared with all of the others" for x in ("one (1)", "two (22)", "three (333)"))
+    texts = [(None, a), (None, f"{b}\n{a}"), (None, f"short\n{c}"), (7, f"{a}\n{c}x y z"), (7, f"own\n{b}")]
+    got = sorted((str(r["doc_id"]), r["text"]) for r in linededup.without_lines(docs(spark, texts)).collect())
+    assert got == sorted([("None", a), ("None", b), ("None", f"short\n{c}"), ("7", f"{c}x y z"), ("7", "own")])

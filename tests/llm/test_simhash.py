@@ -143,3 +143,11 @@ def test_what_goes_is_similar_to_what_stays(spark):
     assert simhash.distance(simhash.fingerprint(texts[0][1].encode(), 5, 8) ^ simhash.fingerprint(texts[1][1].encode(), 5, 8)) <= simhash.similar_radius(8, 0.8)
     texts.append((100, texts[3][1] + " " + word()))
     assert {x["doc_id"] for x in simhash.one_of_each(docs(spark, texts)).collect()} == set(range(30))
+
+
+def test_rows_that_share_a_doc_id_are_told_apart(spark):
+    r = random.Random(23)
+    a, b, c = (" ".join(str(r.random()) for _ in range(50)) for _ in range(3))
+    texts = [(None, a), (None, b), (None, b), (1, a), (2, c), (2, b), (3, c)]
+    got = sorted((str(x["doc_id"]), x["text"]) for x in simhash.one_of_each(docs(spark, texts)).collect())
+    assert got == sorted([("1", a), ("2", b), ("2", c)])
