@@ -8,8 +8,8 @@ log-probabilities and back-off weights, found by binary search. A word's log-pro
 not depend on other words, so that distinct words are scored once and kept.
 
 A model of word n-grams grows with the corpus without bound, and so can't be held by every
-executor. One of characters levels off; ``max_entries`` bounds it in any case: beyond it rarer
-n-grams are left to the back-off, as in any pruned model. Counting still covers every text.
+executor. One of characters grows far more slowly, and every n-gram that was counted is in it; it has to fit
+an executor's memory. Only where ``max_entries`` is given are rarer n-grams beyond it left to the back-off.
 
 Bands are Tukey's outer fences of the log-perplexity, by word and by character, of documents of at
 least MIN_WORDS words of a language (of all languages, where one has fewer than MIN_DOCS such
@@ -250,10 +250,10 @@ class Scorer:
         return out
 
 
-def fit(docs: DataFrame, max_entries: int = 3_000_000) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
-    """A model for each language."""
+def fit(docs: DataFrame, max_entries: int | None = None) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
+    """A model for each language, of every n-gram that was counted, unless ``max_entries`` is given."""
     found = stored(count_ngrams(docs), "ngrams")
-    if found.count() > max_entries:  # the least count that leaves few enough; single characters stay
+    if max_entries is not None and found.count() > max_entries:  # the least count that leaves few enough; single characters stay
         sizes = found.filter("k > 1").groupBy("n").count().withColumn("more", F.sum("count").over(Window.orderBy(F.desc("n"))))
         kept = sizes.filter(F.col("more") <= max_entries).agg(F.min("n")).first()[0]
         found = found.filter((F.col("k") == 1) | (F.col("n") >= (kept or 1 << 62)))
@@ -307,7 +307,7 @@ def measures(docs: DataFrame, models: dict) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang string, {', '.join(f'{n} long' for n in names)}, {', '.join(f'{m} double' for m in MEASURES)}")
 
 
-def quality(docs: DataFrame, max_entries: int = 3_000_000) -> DataFrame:
+def quality(docs: DataFrame, max_entries: int | None = None) -> DataFrame:
     """The measures of each document, its language's bands (low and high of each of MEASURES), base_failed and kept."""
     found = stored(measures(docs, fit(docs, max_entries)), "measures")
     fit_for = found.filter(F.col("n_words") >= MIN_WORDS)

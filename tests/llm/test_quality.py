@@ -1,3 +1,4 @@
+import inspect
 import math
 import random
 import re
@@ -109,3 +110,7 @@ def test_pruned_model(spark):
     texts = [(i, f"common words come again {i}") for i in range(30)]
     models = quality.fit(docs(spark, texts), max_entries=60)
     assert len(models["en"][0]) < 120 and np.isfinite(quality.Scorer(models).words("en", [b"common", b"zz9"])).all()
+
+
+def test_no_cap_by_default():
+    assert all(inspect.signature(f).parameters["max_entries"].default is None for f in (quality.fit, quality.quality))
