@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quern.sources.tables import table
 
-__all__ = ["bytes_of", "commit_file", "dropped", "filesystem", "new_path", "publish", "read_file", "ready", "sha256_of_ids", "shared_dir", "stored", "table", "texts_of"]
+__all__ = ["bytes_of", "commit_file", "dropped", "filesystem", "new_path", "publish", "ready", "sha256_of_ids", "shared_dir", "stored", "table", "texts_of"]
 
 _LOCAL: dict[str, str] = {}
 
@@ -111,12 +111,6 @@ def commit_file(uri: str, parts: list[bytes], attempt: int) -> int:
     return size
 
 
-def read_file(uri: str) -> bytes:
-    fs, path = filesystem(uri)
-    with fs.open_input_file(path) as f:
-        return f.read()
-
-
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """Python strings of a column; null becomes the empty text."""
     return [x or "" for x in batch.column(name).to_pylist()]

@@ -3,7 +3,11 @@
 Records are WARC/1.1, each in a gzip member of its own (or plain). Where a check fails (a
 member's CRC or end, the version line, a header, the content length, the block's digest) the
 reader notes what it must pass over as quarantined, looks for the next member or version line
-that starts a valid record, and goes on there.
+that starts a valid record, and goes on there. Of a whole member with a bad record the others are kept.
+
+Files are read a block at a time, so that memory is bounded by the largest record, and time is in
+proportion to the file. archived() fails if its archives do not give back as many records as
+were written, or have gaps.
 
 Nulls, ties, empties: a null html is an empty payload, a null url an empty target; line breaks
 in a url are written as %0D and %0A; rows with a null page_id are records without an id, never
@@ -15,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,10 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import commit_file, new_path, read_file, stored
+from .common import commit_file, filesystem, new_path, stored
 
 #: A file is closed once it has as many bytes.
 FILE_BYTES = 32 << 20
+#: Bytes that the reader holds of a file, records that are larger aside.
+BLOCK_BYTES = 4 << 20
+#: A header that is longer isn't valid.
+HEADER_BYTES = 1 << 20
 DATE = "2024-01-01T00:00:00Z"  # fixed: equal input gives equal files
 GZIP = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
@@ -93,74 +102,121 @@ class Damaged(ValueError):
     pass
 
 
-def parse(data: bytes, at: int, offset: int) -> tuple[Record, int]:
-    """The record that starts at data[at], and where it ends."""
-    if data[at : at + len(VERSION)] != VERSION:
+class Source:
+    """A file by offset: a block of it is held, and the next hit of each pattern is remembered, so that reading is linear."""
+
+    def __init__(self, file, size: int):
+        self.file, self.size = file, size
+        self.start, self.block = 0, b""
+        self.hits: dict[bytes, int] = {}
+
+    def view(self, at: int, n: int) -> memoryview:
+        """The n bytes from at on, or those up to the end."""
+        n = max(0, min(n, self.size - at))
+        if not self.start <= at <= at + n <= self.start + len(self.block):
+            self.file.seek(at)
+            self.start, self.block = at, self.file.read(max(n, BLOCK_BYTES))
+        return memoryview(self.block)[at - self.start : at - self.start + n]
+
+    def find(self, pattern: bytes, at: int) -> int:
+        """Where the pattern stands next, or the file's end."""
+        if (known := self.hits.get(pattern, -1)) >= at:
+            return known
+        while at < self.size:
+            held = self.start + len(self.block) - at  # what is left of the block, unless that is too little
+            part = bytes(self.view(at, held if self.start <= at and held > len(pattern) else BLOCK_BYTES))
+            if (i := part.find(pattern)) >= 0:
+                at += i
+                break
+            at += max(1, len(part) - len(pattern) + 1)
+        self.hits[pattern] = found = min(at, self.size)
+        return found
+
+
+def parse(source: Source, at: int, offset: int) -> tuple[Record, int]:
+    """The record that starts at that place of the source, and where it ends."""
+    if source.view(at, len(VERSION)) != VERSION:
         raise Damaged("no version line")
-    head = data.find(b"\r\n\r\n", at)
-    if head < 0:
-        raise Damaged("header without an end")
+    n = 1 << 12
+    while (head := bytes(source.view(at, n)).find(b"\r\n\r\n")) < 0:
+        if n >= HEADER_BYTES or at + n >= source.size:
+            raise Damaged("header without an end")
+        n *= 4
     headers = {}
-    for line in data[at:head].split(b"\r\n")[1:]:
+    for line in bytes(source.view(at, head)).split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("header line without a colon")
         headers[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    if not headers.get("content-length", "").isdigit():
+    if not re.fullmatch(r"[0-9]{1,18}", headers.get("content-length", "")):
         raise Damaged("no content length")
-    start = head + 4
+    start = at + head + 4
     end = start + int(headers["content-length"])
-    if data[end : end + 4] != b"\r\n\r\n":
+    if end + 4 > source.size or source.view(end, 4) != b"\r\n\r\n":
         raise Damaged("no record end after the content length")
-    block = data[start:end]
+    block = bytes(source.view(start, end - start))
     want = headers.get("warc-block-digest")
     if want and want != _base32(hashlib.sha1(block).hexdigest()):
         raise Damaged("block digest differs")
     return Record(offset, headers, block), end + 4
 
 
-def _member_at(data: bytes, at: int) -> tuple[list[Record], int]:
-    """The records of the gzip member at data[at]; its end."""
-    z = zlib.decompressobj(31)
-    try:
-        raw = z.decompress(memoryview(data)[at:]) + z.flush()
-    except zlib.error as e:
-        raise Damaged(f"gzip: {e}") from e
-    if not z.eof:
-        raise Damaged("gzip: the member has no end")
-    out, i = [], 0
+def _member_at(source: Source, at: int) -> tuple[bytes, int]:
+    """What the gzip member at that place holds, and where it ends."""
+    z, out, end, step = zlib.decompressobj(31), [], at, 1 << 12
+    while not z.eof:
+        part = source.view(end, step)
+        if not part:
+            raise Damaged("gzip: the member has no end")
+        try:
+            out.append(z.decompress(part))
+        except zlib.error as e:
+            raise Damaged(f"gzip: {e}") from e
+        end += len(part)
+        step = min(2 * step, 1 << 20)
+    return b"".join(out), end - len(z.unused_data)
+
+
+def _records(raw: bytes, at: int, end: int, gaps: list[tuple[int, int, str]]) -> list[Record]:
+    """The valid records of a whole member; what else it holds makes the member one of the gaps, too."""
+    source, out, i, why = Source(io.BytesIO(raw), len(raw)), [], 0, None
     while i < len(raw):
-        found, i = parse(raw, i, at)
-        out.append(found)
-    if not out:
-        raise Damaged("empty member")
-    return out, len(data) - len(z.unused_data)
+        try:
+            found, i = parse(source, i, at)
+            out.append(found)
+        except Damaged as e:
+            why = why or f"in the member: {e}"
+            i = source.find(VERSION, i + 1)
+    if why or not out:
+        gaps.append((at, end, why or "empty member"))
+    return out
 
 
-def read(data: bytes, quarantined: list[tuple[int, int, str]] | None = None) -> Iterator[Record]:
-    """Records of an archive; what isn't part of a valid one is added to quarantined as (start, end, reason)."""
+def read(data, quarantined: list[tuple[int, int, str]] | None = None) -> Iterator[Record]:
+    """Records of an archive (bytes, or a Source); what isn't part of a valid one is added to quarantined as (start, end, reason)."""
     gaps = quarantined if quarantined is not None else []
+    source = data if isinstance(data, Source) else Source(io.BytesIO(data), len(data))
     at, gap, why = 0, None, ""
-    while at < len(data):
+    while at < source.size:
         try:
-            if data[at : at + 3] == GZIP:
-                found, end = _member_at(data, at)
+            if source.view(at, 3) == GZIP:
+                raw, end = _member_at(source, at)
+                found = None
             else:
-                one, end = parse(data, at, at)
+                one, end = parse(source, at, at)
                 found = [one]
         except Damaged as e:
             if gap is None:
                 gap, why = at, str(e)
-            nexts = [x for x in (data.find(GZIP, at + 1), data.find(VERSION, at + 1)) if x >= 0]
-            at = min(nexts, default=len(data))
+            at = min(source.find(GZIP, at + 1), source.find(VERSION, at + 1))
             continue
         if gap is not None:
             gaps.append((gap, at, why))
             gap = None
-        yield from found
+        yield from _records(raw, at, end, gaps) if found is None else found
         at = end
     if gap is not None:
-        gaps.append((gap, len(data), why))
+        gaps.append((gap, source.size, why))
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = 1000, compress: bool = True) -> DataFrame:
@@ -211,19 +267,37 @@ def read_archives(manifest: DataFrame) -> DataFrame:
             for uri in b.column("uri").to_pylist():
                 gaps: list[tuple[int, int, str]] = []
                 rows = []
-                for r in read(read_file(uri), gaps):
+                fs, path = filesystem(uri)
+                file = fs.open_input_file(path)
+                for r in read(Source(file, file.size()), gaps):
                     rows.append({"kind": "record", "uri": uri, "offset": r.offset, "page_id": r.page_id, "url": r.headers.get("warc-target-uri"), "payload_bytes": r.payload_bytes, "payload_digest": r.payload_digest, "record_type": r.headers.get("warc-type"), "refers_to": r.refers_to})
                     if len(rows) >= 5000:
                         yield pa.RecordBatch.from_pylist(rows, schema=schema)
                         rows = []
                 rows += [{"kind": "quarantined", "uri": uri, "offset": lo, "end": hi, "reason": why} for lo, hi, why in gaps]
+                file.close()
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     ddl = "kind string, uri string, offset long, `end` long, reason string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
     return manifest.select("uri").repartition(max(1, manifest.count())).mapInArrow(run, ddl)
 
 
+class Incomplete(RuntimeError):
+    pass
+
+
+def read_back(manifest: DataFrame) -> DataFrame:
+    """read_archives(), stored, after it was held against the manifest: as many records in each file, and no gaps."""
+    found = stored(read_archives(manifest), "records")
+    got = found.groupBy("uri").agg(F.sum((F.col("kind") == "record").cast("long")).alias("got"), F.sum((F.col("kind") == "quarantined").cast("long")).alias("gaps"))
+    wrong = manifest.join(got, "uri", "left").filter(~F.col("got").eqNullSafe(F.col("n_records")) | (F.col("gaps") > 0))
+    if rows := wrong.limit(10).collect():
+        said = "; ".join(f"{r['uri']}: {r['got'] or 0} of {r['n_records']} records, {r['gaps'] or 0} gaps" for r in rows)
+        raise Incomplete(f"archives don't give back what was written, among them {said}")
+    return found
+
+
 def archived(pages: DataFrame, least: int = 1000) -> DataFrame:
     """Writes pages to archives in the shared folder and returns what the archives hold, by page."""
-    found = read_archives(write_archives(pages, new_path(pages.sparkSession, "warc"), least))
+    found = read_back(write_archives(pages, new_path(pages.sparkSession, "warc"), least))
     return found.filter("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -1,5 +1,9 @@
 import hashlib
+import io
 import random
+import time
+
+import pytest
 
 from quern.llm import warc
 
@@ -59,3 +63,56 @@ def test_table(spark):
         want.append((str(i), len(p), hashlib.sha1(p).hexdigest(), "response" if refers is None else "revisit", refers))
     assert got == sorted(want, key=str)
     assert warc.archived(df.limit(0)).count() == 0
+
+
+def test_a_member_with_a_bad_record_keeps_the_others():
+    one, bad, two = (x for x in archive(3, gz=False))
+    bad = bad.replace(b"<p>1</p>", b"<p>x</p>", 1)
+    gaps = []
+    assert [r.page_id for r in warc.read(warc.member(one + bad + two), gaps)] == [0, 2]
+    assert len(gaps) == 1 and "block digest" in gaps[0][2]
+
+
+def test_records_larger_than_a_block(monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_BYTES", 256)
+    for gz in (True, False):
+        data = b"".join(archive(40, gz)) + b"rubbish" * 100
+        gaps = []
+        assert [r.page_id for r in warc.read(data, gaps)] == list(range(40))
+        assert gaps == [(len(data) - 700, len(data), "no version line")]
+
+
+class Counted(io.BytesIO):
+    got = 0
+
+    def read(self, n=-1):
+        data = super().read(n)
+        self.got += len(data)
+        return data
+
+
+@pytest.mark.parametrize("gz", [True, False])
+def test_reading_is_linear(gz):
+    """Bytes that are read from a file are in proportion to it, with false starts in it, too."""
+    one = b"".join(archive(30, gz)) + b"\x1f\x8b\x08 false WARC/1. starts"
+    for copies in (50, 400):
+        data = one * copies
+        file = Counted(data)
+        began = time.process_time()
+        assert sum(1 for _ in warc.read(warc.Source(file, len(data)))) == 30 * copies
+        assert file.got < 3 * len(data) + 4 * warc.BLOCK_BYTES
+        assert time.process_time() - began < 20
+
+
+def test_damaged_archives_are_noticed(spark):
+    df = spark.createDataFrame([(i, f"http://x/{i}", f"<p>{i}</p>" * 300) for i in range(50)], "page_id long, url string, html string").repartition(2)
+    manifest = warc.write_archives(df, warc.new_path(spark, "warc"))
+    assert warc.read_back(manifest).filter("kind = 'record'").count() == 50
+    path = manifest.first()["uri"].removeprefix("file:").replace("//", "/")
+    data = bytearray(open(path, "rb").read())
+    data[len(data) // 2] ^= 0x55
+    open(path, "wb").write(data)
+    found = warc.read_archives(manifest)
+    assert found.filter("kind = 'quarantined'").count() == 1 and found.filter("kind = 'record'").count() == 49
+    with pytest.raises(warc.Incomplete):
+        warc.read_back(manifest)
