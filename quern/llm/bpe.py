@@ -27,14 +27,20 @@ _PRINTED = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + n) for n, b in enumer
 
 
 class ChunkEncoder:
-    """Encodes texts to little-endian uint32 ids. Strings of special tokens in a text are ordinary text."""
+    """Encodes texts to little-endian uint32 ids.
 
-    def __init__(self, path: str, max_chunks: int = 800_000):
+    Strings of special tokens in a text become these tokens, as the library has it, or with ``special_as_text`` ordinary text.
+    """
+
+    def __init__(self, path: str, special_as_text: bool = False, max_chunks: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        #: Texts that hold one of these are encoded whole.
+        self.apart = tuple(t.content for t in added if not (special_as_text and t.special))
         self.max_chunks = max_chunks
         self.chunks: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -73,6 +79,9 @@ class ChunkEncoder:
         get, join, out = self.chunks.get, b"".join, []
         later: list[tuple[int, list, list[tuple[int, str]]]] = []
         for text in texts:  # one by one, so that its chunks don't leave the processor's cache
+            if any(x in text for x in self.apart):
+                out.append(self.whole(text))
+                continue
             pieces = _CUT.split(text) if _ODD_SPACE.search(text) else text.split(" ")
             ids = list(map(get, pieces))
             ids[0] = self._chunk(pieces[0], "") if pieces[0] else b""  # the first has no space before it
@@ -93,9 +102,9 @@ class ChunkEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> ChunkEncoder:
-    """One encoder for each Python worker and vocabulary."""
-    return ChunkEncoder(path)
+def encoder(path: str, special_as_text: bool = False) -> ChunkEncoder:
+    """One encoder for each Python worker, vocabulary and mode."""
+    return ChunkEncoder(path, special_as_text)
 
 
 @functools.lru_cache(maxsize=2)

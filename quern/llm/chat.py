@@ -66,7 +66,7 @@ def format_chats(turns: DataFrame, tokenizer: str, loss_roles: tuple[str, ...] =
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, special_as_text=True)
         for b in batches:
             roles, texts = texts_of(b, "role"), texts_of(b)
             role_ids = enc.encode_batch([escape_role(x) for x in roles])
@@ -78,7 +78,7 @@ def format_chats(turns: DataFrame, tokenizer: str, loss_roles: tuple[str, ...] =
     dealt = encoded.repartition("conv_id").sortWithinPartitions(*order).select("conv_id", "role", "role_ids", "text_ids")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, special_as_text=True)
         size = enc.tokenizer.get_vocab_size()
         start, end = np.array([size], "<u4").tobytes(), np.array([size + 1], "<u4").tobytes()
         line = enc.whole("\n")

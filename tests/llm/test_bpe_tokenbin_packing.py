@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from quern.llm import packing, tokenbin
 from quern.llm.bpe import ChunkEncoder, encoder, token_bytes
@@ -16,8 +17,11 @@ from .helpers import ODD, docs
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
+LIBRARY = Tokenizer.from_file(PATH)
+
+
 def whole(text):
-    return encoder(PATH).tokenizer.encode(text or "", add_special_tokens=False).ids
+    return LIBRARY.encode(text or "", add_special_tokens=False).ids
 
 
 @settings(max_examples=300, deadline=None)
@@ -28,6 +32,15 @@ def test_chunks_encode_as_whole_texts(text):
     assert b"".join(table[i] for i in whole(text)) == text.encode()
 
 
+@pytest.mark.parametrize("text", ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|>a", "end <|endoftext|>", "x<|endoftext|><|endoftext|>y <|endoftext|>", "<|endoftext| >", " <|endoftext|>\n <|endoftext|>  z"])
+def test_special_tokens_are_as_the_library_has_them(text):
+    texts = ["before it", text, "after it"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder(PATH).encode_batch(texts)] == [whole(t) for t in texts]
+    plain = np.frombuffer(encoder(PATH, True).encode_batch([text])[0], "<u4").tolist()
+    table = token_bytes(PATH)
+    assert 50256 not in plain and b"".join(table[i] for i in plain) == text.encode()
+
+
 def test_small_cache_is_exact():
     enc = ChunkEncoder(PATH, max_chunks=10)
     texts = [f"some words {i} and {i * 7} more, or it's less.\nLine" for i in range(50)]
