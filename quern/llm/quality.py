@@ -1,45 +1,59 @@
 """Quality rules: counts over lines and words, and bands of n-gram perplexity by language.
 
-The language model is a modified Kneser-Ney model of the characters of words, of order ORDER,
-for each language. N-grams are counted by Spark over all documents: each task counts its
-distinct words, and from these its n-grams, so that a row for each n-gram and task is shuffled.
-The model is kept as arrays of 64-bit n-gram hashes in ascending order with their
-log-probabilities and back-off weights, found by binary search. A word's log-probability does
-not depend on other words, so that distinct words are scored once and kept.
-
-A model of word n-grams grows with the corpus without bound, and so can't be held by every
-executor. One of characters grows far more slowly, and every n-gram that was counted is in it; it has to fit
-an executor's memory. Only where ``max_entries`` is given are rarer n-grams beyond it left to the back-off.
-
-Bands are Tukey's outer fences of the log-perplexity, by word and by character, of documents of at
-least MIN_WORDS words of a language (of all languages, where one has fewer than MIN_DOCS such
-documents). By word, marks stuck to words stand out; by character, tables and other languages.
+The language model is a modified Kneser-Ney model of order ORDER over a document's characters, for each
+language: its words with one space between them, so that n-grams run over the bounds of words and the
+model hears their order. A word beyond its first characters depends on itself alone, and the first ones
+on the end of what stands before it: each task counts its distinct words and its distinct windows around
+spaces, and takes n-grams from these. Only n-grams of the highest order are shuffled, each once for a
+task; Spark derives all else from them (lower orders, counts of counts, discounts, continuation counts,
+back-off weights) in DataFrames, for all languages at once. Nothing is pruned, and nothing comes to the driver.
+
+The model is stored in SHARDS files of 64-bit n-gram hashes in ascending order (the language is part of
+the hash), their log-probabilities and back-off weights. Each Python worker reads them from the shared
+folder and finds n-grams by binary search: 16 bytes for each n-gram are its memory. Scores of words and of
+windows are kept, up to a bound, and are the same when they are found again.
+
+A model of word n-grams was measured and rejected: see the README.
+
+Bands are Tukey fences, over documents of at least MIN_WORDS words of a language, of how far the
+log-perplexity, by word and by character, is from the language's median, in units of what chance makes
+of it in so many words: short documents scatter more. By word, marks stuck to words stand out; by character,
+tables and other languages.
 
 Nulls, ties, empties: a null text is an empty one; empty texts have no words and fail; a null
-language is one of its own; repeated rows and null doc_ids are separate documents; an empty
-table gives no rows; columns other than doc_id, lang and text aren't read.
+language is one of its own, that of the empty name; a character U+0000 counts as U+0001 in n-grams; repeated
+rows and null doc_ids are separate documents; an empty table gives no rows; columns other than doc_id, lang
+and text aren't read.
 """
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, texts_of
+from .common import bytes_of, commit_file, dropped, filesystem, new_path, stored
 
 ORDER = 5
-MIN_WORDS, MIN_DOCS = 50, 100
-#: Words that are worked on at a time.
-SLICE = 50_000
+MIN_WORDS = 50
 #: Interquartile ranges beyond the quartiles.
-FENCE = 3.0
+FENCE = 2.5
 MEASURES = ("log_perplexity", "char_log_perplexity")
-BEGIN, FINISH = 1, 2  # code points that stand for a word's ends; words don't hold them as they are separators' neighbours
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: Files of a model; a power of 2.
+SHARDS = 16
+#: Between words, and before a text. Words hold neither.
+SPACE, PAD = " ", "\t"
+TAIL = ORDER - 2  # characters before a space that n-grams with the space inside reach
+_SPACE = np.uint32(ord(SPACE))
+#: Characters that are worked on at a time; words or windows, and their characters, that a task holds.
+STEP, HELD, HELD_CHARS = 1 << 20, 1_000_000, 64 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -49,223 +63,273 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def hashed(words: list[bytes], salt: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Over the characters of all words with their marks: for each k the hashes of the k characters that end there, each
-    one's place in its word, its word. Only the first place + 1 of them lie within the word.
-    """
-    codes = np.frombuffer("".join("\x01" + w.decode("utf-8", "replace") + "\x02" for w in words).encode("utf-32-le"), "<u4").astype(np.uint64)
-    starts = np.flatnonzero(codes == BEGIN)
-    if len(starts) != len(words):  # a word that holds the mark itself
-        return hashed([w.replace(b"\x01", b"?") for w in words], salt)
-    own = np.repeat(np.arange(len(words)), np.diff(np.append(starts, len(codes))))
-    within = np.arange(len(codes)) - starts[own]
-    char = _mix((codes + np.uint64(1)) * _P)
-    seed = _mix(np.array([salt + 1], np.uint64) * _P)[0]
-    last = np.full(len(codes), seed)
-    hashes = [last]
-    for _ in range(ORDER):  # from the hash of the k - 1 characters that end one before
-        shifted = np.empty_like(last)
-        shifted[:1], shifted[1:] = seed, last[:-1]
-        last = _mix(shifted * _P + char)
-        hashes.append(last)
-    return hashes, within, own
-
-
-def counted(words: list[bytes], weight: np.ndarray, salt: int) -> dict[int, tuple[np.ndarray, ...]]:
-    """For each order the n-grams within words: hash, that of the context (all but the last character) and of the suffix (all
-    but the first), whether it starts a word, how often it occurs.
-
-    N-grams of an order are the suffixes of those of the next, which are distinct already, and those that start a word.
+def seed_of(lang: str) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(lang.encode())
+
+
+def _then(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The hash of an n-gram from that of its context and its last character."""
+    return _mix(h * _P + _mix((codes.astype(np.uint64) + np.uint64(1)) * _P))
+
+
+def hash_of(codes: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams: a row of character codes each."""
+    h = seed
+    for column in codes.T:
+        h = _then(h, column)
+    return h
+
+
+def split(raw: bytes) -> tuple[list[str], list[str]]:
+    """The words of a text, and of each word the window from TAIL characters before its space to TAIL after."""
+    stream = b" ".join(raw.split()).decode("utf-8", "replace")
+    if not stream:
+        return [], []
+    words, full = stream.split(SPACE), PAD * TAIL + SPACE + stream + SPACE
+    starts = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    return words, [full[i : i + 2 * TAIL + 1] for i in [0, *starts[:-1].tolist()]]
+
+
+def places(keys: list[str], windows: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams (rows of ORDER character codes) that end inside these words or windows, and the key of each.
+
+    Of a word these are those that lie in it and its two spaces; of a window those that hold its space before their end and end
+    before, or at, the next space.
     """
-    hashes, within, own = hashed(words, salt)
-    out = {}
-    at = np.flatnonzero(within >= ORDER - 1)
-    n = weight[own[at]]
-    for k in range(ORDER, 0, -1):
-        if len(at):
-            order = np.argsort(hashes[k][at])
-            at, n = at[order], n[order]
-            key = hashes[k][at]
-            new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            at, n = at[new], np.add.reduceat(n, new)
-        before = hashes[k - 1]  # of no characters for k = 1: the same everywhere
-        out[k] = (hashes[k][at], before[np.maximum(at - 1, 0)], before[at], within[at] == k - 1, n)
-        if k > 2:  # the begin mark alone is no n-gram
-            first = np.flatnonzero(within == k - 2)
-            at, n = np.concatenate([at, first]), np.concatenate([n, weight[own[first]]])
-    return out
+    joined = "".join(keys) if windows else SPACE + SPACE.join(keys) + SPACE
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").copy()
+    codes[codes == 0] = 1
+    size = np.fromiter(map(len, keys), np.int64, len(keys))
+    starts = np.cumsum(size) - size
+    if windows:
+        at = starts[:, None] + np.arange(ORDER - 1, ORDER - 1 + TAIL)
+        ok = at < (starts + size)[:, None]
+        space = (codes[np.minimum(at, len(codes) - 1)] == _SPACE) & ok
+        ok[:, 1:] &= np.cumsum(space, axis=1)[:, :-1] == 0
+    else:
+        starts = starts + np.arange(len(keys))  # that of the space before each word
+        owner = np.repeat(np.arange(len(keys)), np.maximum(size + 2 - (ORDER - 1), 0))
+        each = np.maximum(size + 2 - (ORDER - 1), 0)
+        at = starts[owner] + ORDER - 1 + np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
+        return codes[at[:, None] + np.arange(1 - ORDER, 1)], owner
+    owner, _ = np.nonzero(ok)
+    return codes[at[ok][:, None] + np.arange(1 - ORDER, 1)], owner
+
+
+def _slices(keys: list[str]) -> Iterator[slice]:
+    """Slices of about STEP characters."""
+    ends = np.cumsum(np.fromiter(map(len, keys), np.int64, len(keys)))
+    lo = 0
+    while lo < len(keys):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + STEP)))
+        yield slice(lo, hi)
+        lo = hi
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, n-grams and counts, a row for each hash."""
+    h, grams, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(h)
+    new = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0])) if len(h) else np.zeros(0, np.int64)
+    return h[order[new]], grams[order[new]], np.add.reduceat(n[order], new) if len(new) else n
 
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
-    """lang, k, key, context, suffix, begins, n: the n-grams of all documents."""
-    names = ["lang", "k", "key", "context", "suffix", "begins", "n"]
+    """lang, gram, n: the n-grams of ORDER characters of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, Counter] = {}
+        seen: dict[str, tuple[Counter, Counter]] = {}
+        chars = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lang, words in seen.items():
-                names_, weight = list(words), np.fromiter(words.values(), np.int64, len(words))
-                found: dict[int, list[tuple[np.ndarray, ...]]] = {}
-                for s in range(0, len(names_), SLICE):
-                    for k, columns in counted(names_[s : s + SLICE], weight[s : s + SLICE], salt_of(lang)).items():
-                        found.setdefault(k, []).append(columns)
-                for k, parts in found.items():
-                    key, context, suffix, begins, n = _added([np.concatenate(x) for x in zip(*(p[:4] for p in parts), strict=True)], np.concatenate([p[4] for p in parts])) if len(parts) > 1 else parts[0]
-                    if len(key):
-                        cols = [pa.array([lang] * len(key)), pa.array(np.full(len(key), k, np.int32)), *(pa.array(x.view(np.int64)) for x in (key, context, suffix)), pa.array(begins), pa.array(n)]
-                        yield pa.RecordBatch.from_arrays(cols, names)
+            for lang, both in seen.items():
+                seed = np.array([seed_of(lang)], np.uint64)
+                parts = []
+                for windows, own in enumerate(both):
+                    keys, weight = list(own), np.fromiter(own.values(), np.int64, len(own))
+                    for s in _slices(keys):
+                        grams, owner = places(keys[s], bool(windows))
+                        parts.append(_added([(hash_of(grams, seed), grams, weight[s][owner])]))
+                if parts:
+                    _, grams, n = _added(parts)
+                    for i in range(0, len(n), 200_000):
+                        text = np.ascontiguousarray(grams[i : i + 200_000]).view(f"<U{ORDER}").reshape(-1)
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(text), pa.string()), pa.array(text.tolist(), pa.string()), pa.array(n[i : i + 200_000])], ["lang", "gram", "n"])
             seen.clear()
 
         for b in batches:
-            for lang, text in zip(b.column("lang").to_pylist(), texts_of(b), strict=True):
-                seen.setdefault(lang, Counter()).update(text.encode().split())
-            if sum(map(len, seen.values())) > 1_000_000:
-                yield from flush()
+            for lang, raw in zip(b.column("lang").to_pylist(), bytes_of(b), strict=True):
+                words, windows = split(raw)
+                own = seen.setdefault(lang, (Counter(), Counter()))
+                own[0].update(words)
+                own[1].update(windows)
+                chars += len(raw)
+                if chars > HELD_CHARS or sum(len(x) for both in seen.values() for x in both) > HELD:
+                    yield from flush()
+                    chars = 0
         yield from flush()
 
     rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), "text")
-    found = rows.mapInArrow(run, "lang string, k int, key long, context long, suffix long, begins boolean, n long")
-    return found.groupBy("lang", "k", "key", "context", "suffix", "begins").agg(F.sum("n").alias("n"))
-
-
-def _added(columns: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Columns, of which the first is a key of the others, with a row for each key, and the sums of n."""
-    if not len(columns[0]):
-        return *columns, n
-    order = np.argsort(columns[0])
-    key = columns[0][order]
-    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[new], *(c[order[new]] for c in columns[1:]), np.add.reduceat(n[order], new)
+    return rows.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def salt_of(lang: str) -> int:
-    import zlib
+def estimate(grams: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Modified Kneser-Ney from the n-grams of the highest order: lang, gram, logp, weight (either may be null), and stored tables behind it.
 
-    return zlib.crc32(lang.encode())
-
-
-def estimate(table: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Modified Kneser-Ney from the n-grams of one language: keys in ascending order, log-probabilities, log back-off weights.
-
-    table: k, key, context, suffix, begins, n.
+    The empty n-gram's log-probability is that of a character that was never seen.
     """
-    by_order = {k: {c: v[table["k"] == k] for c, v in table.items()} for k in range(1, ORDER + 1)}
-    probability: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    backoff: list[tuple[np.ndarray, np.ndarray]] = []
+    levels = {ORDER: grams}
+    for k in range(ORDER - 1, 0, -1):  # a lower order counts how many different characters stand before it
+        levels[k] = stored(levels[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n")), f"order{k}")
+    is_ = lambda i: F.sum((F.col("n") == i).cast("long"))
+    out, lower = [], None
     for k in range(1, ORDER + 1):
-        t = by_order[k]
-        order = np.argsort(t["key"])
-        key, context, suffix, begins, n = (t[c][order] for c in ("key", "context", "suffix", "begins", "n"))
-        count = n.astype(np.float64)
-        if k < ORDER:  # how many different characters stand before it; what starts a word has none before it
-            longer, times = np.unique(by_order[k + 1]["suffix"], return_counts=True)
-            at = np.minimum(np.searchsorted(longer, key), max(0, len(longer) - 1))
-            found = longer[at] == key if len(longer) else np.zeros(len(key), bool)
-            count = np.where(begins & (k > 1), count, np.where(found, times[at] if len(longer) else 0, 1.0))
-        n1, n2, n3, n4 = ((count == i).sum() for i in (1, 2, 3, 4))
-        y = n1 / max(1, n1 + 2 * n2)
-        d = [0.0] + [min(max(i - (i + 1) * y * b / max(1, a), 0.1), i - 0.1) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-        level = np.minimum(count, 3).astype(int)
-        contexts, back = np.unique(context, return_inverse=True)
-        total = np.bincount(back, weights=count)
-        held = np.bincount(back, weights=np.array(d)[level]) / np.maximum(total, 1e-12)
-        p = (count - np.array(d)[level]) / total[back]
+        t = levels[k]
+        d = t.groupBy("lang").agg(*(is_(i).alias(f"n{i}") for i in (1, 2, 3, 4)), F.count("*").alias("size"))
+        y = F.col("n1") / F.greatest(F.lit(1), F.col("n1") + 2 * F.col("n2"))
+        discount = lambda i: F.least(F.greatest(i - (i + 1) * y * F.col(f"n{i + 1}") / F.greatest(F.lit(1), F.col(f"n{i}")), F.lit(0.1)), F.lit(i - 0.1))
+        d = stored(d.select("lang", "size", *(discount(i).alias(f"d{i}") for i in (1, 2, 3))), f"discounts{k}")
+        less = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        rows = t.join(d, "lang").select("lang", "gram", F.substring("gram", 1, k - 1).alias("context"), "n", less.alias("less"), "size")
+        context = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), (F.sum("less") / F.sum("n")).alias("held"))
+        rows = rows.join(context, ["lang", "context"]).withColumn("own", (F.col("n") - F.col("less")) / F.col("total"))
         if k == 1:
-            lower = np.full(len(key), 1.0 / (len(key) + 1))  # one more for what wasn't seen
+            p = F.col("own") + F.col("held") / (F.col("size") + 1)
+            out.append(d.select("lang", F.lit("").alias("gram"), F.log(1 / (F.col("size") + 1)).alias("logp"), F.lit(None).cast("double").alias("weight")))
         else:
-            lk, lp = probability[k - 1]
-            lower = lp[np.minimum(np.searchsorted(lk, suffix), len(lk) - 1)]
-        probability[k] = (key, p + held[back] * lower)
-        backoff.append((contexts, held))
-    # The begin mark alone is a context, but no n-gram.
-    contexts = np.concatenate([c for c, _ in backoff[1:]])
-    held = np.concatenate([h for _, h in backoff[1:]])
-    keys = np.concatenate([probability[k][0] for k in probability])
-    logp = np.log(np.concatenate([probability[k][1] for k in probability]))
-    more = np.setdiff1d(contexts, keys)
-    keys, logp = np.concatenate([keys, more]), np.concatenate([logp, np.full(len(more), -np.inf)])
-    order = np.argsort(keys)
-    keys, logp, weight = keys[order], logp[order], np.zeros(len(keys))
-    weight[np.searchsorted(keys, contexts)] = np.log(held)
-    return keys, logp.astype(np.float32), weight.astype(np.float32)
+            suffix = lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
+            rows = rows.withColumn("suffix", F.substring("gram", 2, k - 1)).join(suffix, ["lang", "suffix"])
+            p = F.col("own") + F.col("held") * F.col("lower")
+        lower = stored(rows.select("lang", "gram", "context", p.alias("p"), "held"), f"probabilities{k}")
+        out.append(lower.select("lang", "gram", F.log("p").alias("logp"), F.lit(None).cast("double").alias("weight")))
+        if k > 1:
+            out.append(lower.select("lang", F.col("context").alias("gram"), F.lit(None).cast("double").alias("logp"), F.log("held").alias("weight")).distinct())
+    return functools.reduce(DataFrame.unionByName, out), [levels[k] for k in range(1, ORDER)]
+
+
+def write_model(model: DataFrame, folder: str) -> list[str]:
+    """Writes sorted arrays, SHARDS files at most; their names in order of the hashes."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            grams = b.column("gram").to_pylist()
+            seeds = {x: seed_of(x) for x in set(b.column("lang").to_pylist())}
+            seed = np.array([seeds[x] for x in b.column("lang").to_pylist()], np.uint64)
+            size, key = np.fromiter(map(len, grams), np.int64, len(grams)), seed.copy()
+            for k in np.unique(size).tolist():
+                at = np.flatnonzero(size == k)
+                if k:
+                    codes = np.frombuffer("".join(grams[i] for i in at.tolist()).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, k)
+                    key[at] = hash_of(codes, seed[at])
+            yield pa.RecordBatch.from_arrays([pa.array((key >> np.uint64(64 - SHARDS.bit_length() + 1)).astype(np.int32)), pa.array(key.view(np.int64)), b.column("logp"), b.column("weight")], ["shard", "key", "logp", "weight"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        uris = []
+        for b in batches:
+            cols = [b.column("key").to_numpy().view(np.uint64)]
+            cols += [b.column(c).fill_null(nothing).to_numpy() for c, nothing in (("logp", -np.inf), ("weight", 0.0))]
+            shard = b.column("shard").to_numpy()
+            for s in np.unique(shard).tolist():
+                held.setdefault(s, []).append(tuple(c[shard == s] for c in cols))
+        for s in sorted(held):
+            key, logp, weight = (np.concatenate(x) for x in zip(*held.pop(s), strict=True))
+            new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))  # an n-gram may be a context, too
+            uri = f"{folder}/shard-{s:04d}.lm"
+            parts = [key[new].astype("<u8").tobytes(), np.maximum.reduceat(logp, new).astype("<f4").tobytes(), np.add.reduceat(weight, new).astype("<f4").tobytes()]
+            commit_file(uri, parts, TaskContext.get().taskAttemptId())
+            uris.append(uri)
+        yield pa.RecordBatch.from_arrays([pa.array(uris, pa.string())], ["uri"])
+
+    rows = model.mapInArrow(keyed, "shard int, key long, logp double, weight double")
+    dealt = rows.repartition(SHARDS, "shard").sortWithinPartitions("shard", F.col("key").bitwiseXOR(F.lit(-(1 << 63))))
+    return sorted(r["uri"] for r in dealt.mapInArrow(write, "uri string").collect())
+
+
+@functools.lru_cache(maxsize=1)
+def read_model(uris: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes in ascending order, log-probabilities, log back-off weights; kept in each Python worker."""
+    sizes = []
+    for uri in uris:
+        fs, path = filesystem(uri)
+        sizes.append(fs.get_file_info(path).size // 16)
+    out = tuple(np.empty(sum(sizes), t) for t in ("<u8", "<f4", "<f4"))
+    at = 0
+    for uri, n in zip(uris, sizes, strict=True):
+        fs, path = filesystem(uri)
+        with fs.open_input_file(path) as f:
+            for x in out:
+                x[at : at + n] = np.frombuffer(f.read(n * x.itemsize), x.dtype)
+        at += n
+    return out
 
 
 class Scorer:
-    """Log-probabilities of words; those of common words are kept."""
-
-    def __init__(self, models: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, float]], max_words: int = 600_000):
-        self.models, self.max_words = models, max_words
-        self.known: dict[str, dict[bytes, float]] = {}
-
-    def words(self, lang: str, words: list[bytes]) -> np.ndarray:
-        """Of each word with its end: from the longest n-gram that was seen, by way of the back-off weights of longer contexts."""
-        keys, logp, weight, unseen = self.models[lang]
-        hashes, within, own = hashed(words, salt_of(lang))
-        n = len(own)
-        out, todo = np.zeros(n), np.flatnonzero(within >= 1)
-        for k in range(ORDER, 0, -1):
-            whole = within[todo] >= k - 1
-            mine, rest = todo[whole], todo[~whole]
-            full = hashes[k][mine]
-            at = np.minimum(np.searchsorted(keys, full), len(keys) - 1)
-            seen = keys[at] == full
-            out[mine[seen]] += logp[at[seen]]
-            mine = mine[~seen]
-            if k == 1:
-                out[mine] += unseen
-            else:
-                context = hashes[k - 1][mine - 1]
-                at = np.minimum(np.searchsorted(keys, context), len(keys) - 1)
-                known = keys[at] == context
-                out[mine[known]] += weight[at[known]]
-                todo = np.concatenate([rest, mine])
-        return np.bincount(own, weights=out, minlength=len(words))
-
-    def texts(self, langs: list[str], texts: list[list[bytes]]) -> list[float]:
-        """Log-probability of each text's words."""
-        out: list[float] = []
-        later: list[tuple[int, str, list, list[tuple[int, bytes]]]] = []
-        for lang, words in zip(langs, texts, strict=True):
-            p = list(map(self.known.setdefault(lang, {}).get, words))
-            if holes := [(n, words[n]) for n, x in enumerate(p) if x is None]:
-                later.append((len(out), lang, p, holes))
-                out.append(0.0)
-            else:
-                out.append(sum(p))
-        for lang in {x[1] for x in later}:
-            mine = [x for x in later if x[1] == lang]
-            missing = list({w for *_, holes in mine for _, w in holes})
-            if sum(map(len, self.known.values())) + len(missing) > self.max_words:
-                for x in self.known.values():
-                    x.clear()
-            known = self.known[lang]
-            for s in range(0, len(missing), SLICE):
-                part = missing[s : s + SLICE]
-                known.update(zip(part, self.words(lang, part).tolist(), strict=True))
-            for i, _, p, holes in mine:
-                for n, w in holes:
-                    p[n] = known[w]
-                out[i] = sum(p)
+    """Log-probabilities of texts; those of words and windows are kept."""
+
+    def __init__(self, uris: list[str], max_keys: int = 500_000):
+        self.keys, self.logp, self.weight = read_model(tuple(uris))
+        self.max_keys = max_keys
+        self.known: dict[str, tuple[dict[str, float], dict[str, float]]] = {}
+
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return at, self.keys[at] == h
+
+    def ngrams(self, grams: np.ndarray, seed: np.ndarray) -> np.ndarray:
+        """Of each n-gram's last character: from the longest n-gram that was seen, by way of the back-off weights of longer contexts."""
+        out, todo = np.zeros(len(grams)), np.arange(len(grams))
+        for k in range(ORDER, -1, -1):
+            own = grams[todo, ORDER - k :]
+            context = hash_of(own[:, :-1], np.full(len(todo), seed[0])) if k else None
+            at, seen = self._find(_then(context, own[:, -1]) if k else np.full(len(todo), seed[0]))
+            seen &= np.isfinite(self.logp[at])  # not only a context
+            out[todo[seen]] += self.logp[at[seen]]
+            if seen.all() or not k:
+                break
+            todo = todo[~seen]
+            if k > 1:
+                at, known = self._find(context[~seen])
+                out[todo[known]] += self.weight[at[known]]
+        return out
+
+    def fresh(self, lang: str, keys: list[str], windows: bool) -> list[float]:
+        seed, out = np.array([seed_of(lang)], np.uint64), []
+        for s in _slices(keys):
+            grams, owner = places(keys[s], windows)
+            out += np.bincount(owner, weights=self.ngrams(grams, seed), minlength=len(keys[s])).tolist()
+        return out
+
+    def texts(self, langs: list[str], texts: list[tuple[list[str], list[str]]]) -> list[float]:
+        """Log-probability of each text, given as its words and windows."""
+        out = [0.0] * len(texts)
+        for lang in set(langs):
+            known = self.known.setdefault(lang, ({}, {}))
+            mine = [i for i, x in enumerate(langs) if x == lang]
+            for kind in (0, 1):
+                values = {i: list(map(known[kind].get, texts[i][kind])) for i in mine}
+                missing = {x for i, v in values.items() if None in v for x, y in zip(texts[i][kind], v, strict=True) if y is None}
+                if sum(len(x) for both in self.known.values() for x in both) + len(missing) > self.max_keys:
+                    for both in self.known.values():
+                        for x in both:
+                            x.clear()
+                keys = list(missing)
+                new = dict(zip(keys, self.fresh(lang, keys, bool(kind)), strict=True))
+                known[kind].update(new)
+                for i, v in values.items():
+                    out[i] += sum(new[x] if y is None else y for x, y in zip(texts[i][kind], v, strict=True)) if None in v else sum(v)
         return out
 
 
-def fit(docs: DataFrame, max_entries: int | None = None) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
-    """A model for each language, of every n-gram that was counted, unless ``max_entries`` is given."""
-    found = stored(count_ngrams(docs), "ngrams")
-    if max_entries is not None and found.count() > max_entries:  # the least count that leaves few enough; single characters stay
-        sizes = found.filter("k > 1").groupBy("n").count().withColumn("more", F.sum("count").over(Window.orderBy(F.desc("n"))))
-        kept = sizes.filter(F.col("more") <= max_entries).agg(F.min("n")).first()[0]
-        found = found.filter((F.col("k") == 1) | (F.col("n") >= (kept or 1 << 62)))
-    models = {}
-    for lang in sorted(r[0] for r in found.select("lang").distinct().collect()):
-        t = found.filter(F.col("lang") == lang).drop("lang").toArrow()
-        table = {c: t.column(c).to_numpy() for c in t.column_names}
-        for c in ("key", "context", "suffix"):
-            table[c] = table[c].view(np.uint64)
-        keys, logp, weight = estimate(table)
-        models[lang] = (keys, logp, weight, float(np.log(1.0 / (int((table["k"] == 1).sum()) + 1))))
-    return models
+def fit(docs: DataFrame) -> list[str]:
+    """Files of a model of every n-gram of all documents."""
+    grams = stored(count_ngrams(docs), "ngrams")
+    model, behind = estimate(grams)
+    uris = write_model(model, new_path(docs.sparkSession, "model"))
+    dropped(grams, *behind)
+    return uris
 
 
 def line_counts(text: str, words: list[bytes]) -> tuple[int, int, int, int, int]:
@@ -284,43 +348,43 @@ def line_counts(text: str, words: list[bytes]) -> tuple[int, int, int, int, int]
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeated
 
 
-def measures(docs: DataFrame, models: dict) -> DataFrame:
+def measures(docs: DataFrame, uris: list[str]) -> DataFrame:
     """doc_id, lang, the counts, and the log-perplexity by word and by character (null without words) of each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = None
         for b in batches:
-            for s in range(0, b.num_rows, 1000):
-                part = b.slice(s, 1000)
-                langs, texts = part.column("lang").to_pylist(), texts_of(part)
-                words = [t.encode().split() for t in texts]
-                counts = [line_counts(t, w) for t, w in zip(texts, words, strict=True)]
-                logp = scorer.texts(langs, words)
+            scorer = scorer or Scorer(uris)
+            for s in range(0, b.num_rows, 500):
+                part = b.slice(s, 500)
+                langs, raws = part.column("lang").to_pylist(), bytes_of(part)
+                texts = [split(x) for x in raws]
+                counts = [line_counts(x.decode("utf-8", "replace"), w) for x, (w, _) in zip(raws, texts, strict=True)]
+                logp = scorer.texts(langs, texts)
                 by_word = [-p / c[0] if c[0] else None for p, c in zip(logp, counts, strict=True)]
                 by_char = [-p / (c[1] + c[0]) if c[0] else None for p, c in zip(logp, counts, strict=True)]
-                cols = list(zip(*counts, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), *(pa.array(x, pa.int64()) for x in cols), pa.array(by_word, pa.float64()), pa.array(by_char, pa.float64())], ["doc_id", "lang", *names, *MEASURES])
+                cols = list(zip(*counts, strict=True)) or [[]] * len(COUNTS)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), *(pa.array(x, pa.int64()) for x in cols), pa.array(by_word, pa.float64()), pa.array(by_char, pa.float64())], ["doc_id", "lang", *COUNTS, *MEASURES])
 
     rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang string, {', '.join(f'{n} long' for n in names)}, {', '.join(f'{m} double' for m in MEASURES)}")
-
-
-def quality(docs: DataFrame, max_entries: int | None = None) -> DataFrame:
-    """The measures of each document, its language's bands (low and high of each of MEASURES), base_failed and kept."""
-    found = stored(measures(docs, fit(docs, max_entries)), "measures")
-    fit_for = found.filter(F.col("n_words") >= MIN_WORDS)
-    quartiles = [F.percentile_approx(m, [0.25, 0.75], 10_000).alias(m) for m in MEASURES]
-    low = lambda m: F.col(m)[0] - FENCE * (F.col(m)[1] - F.col(m)[0])
-    high = lambda m: F.col(m)[1] + FENCE * (F.col(m)[1] - F.col(m)[0])
-    fences = [f(m).alias(f"{name}_{m}") for m in MEASURES for name, f in (("low", low), ("high", high))]
-    by_lang = fit_for.groupBy("lang").agg(*quartiles, F.count("*").alias("n")).filter(F.col("n") >= MIN_DOCS).select("lang", *fences)
-    over_all = fit_for.agg(*quartiles).select(*fences).first()
-    rows = found.join(stored(by_lang, "bands"), "lang", "left")
-    rows = rows.withColumns({c: F.coalesce(F.col(c), F.lit(over_all[c]).cast("double")) for c in by_lang.columns if c != "lang"})
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang string, {', '.join(f'{n} long' for n in COUNTS)}, {', '.join(f'{m} double' for m in MEASURES)}")
+
+
+def quality(docs: DataFrame) -> DataFrame:
+    """The measures of each document, how far each of MEASURES is from its language's median (off), the language's band of that
+    (low and high), base_failed and kept.
+    """
+    found = stored(measures(docs, fit(docs)), "measures")
+    judged = found.filter(F.col("n_words") >= MIN_WORDS)
+    medians = stored(judged.groupBy("lang").agg(*(F.percentile_approx(m, 0.5, 10_000).alias(f"median_{m}") for m in MEASURES)), "medians")
+    off = {f"off_{m}": (F.col(m) - F.col(f"median_{m}")) * F.sqrt("n_words") for m in MEASURES}
+    quartiles = judged.join(medians, "lang").withColumns(off).groupBy("lang").agg(*(F.percentile_approx(c, [0.25, 0.75], 10_000).alias(c) for c in off))
+    low = lambda c: (F.col(c)[0] - FENCE * (F.col(c)[1] - F.col(c)[0])).alias(f"low_{c}")
+    high = lambda c: (F.col(c)[1] + FENCE * (F.col(c)[1] - F.col(c)[0])).alias(f"high_{c}")
+    bands = stored(quartiles.select("lang", *(f(c) for c in off for f in (low, high))), "bands")
+    rows = found.join(medians.join(bands, "lang"), "lang", "left").withColumns(off)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     inside = F.lit(True)
-    for m in MEASURES:
-        inside = inside & F.col(m).between(F.col(f"low_{m}"), F.col(f"high_{m}"))
+    for c in off:
+        inside = inside & F.col(c).between(F.col(f"low_{c}"), F.col(f"high_{c}"))
     return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & F.coalesce(inside, F.lit(False)))

@@ -1,4 +1,3 @@
-import inspect
 import math
 import random
 import re
@@ -34,25 +33,16 @@ def test_counts():
         assert quality.line_counts(t or "", (t or "").encode().split()) == brute_counts(t)
 
 
-def direct(words, order=quality.ORDER):
+def direct(texts, order=quality.ORDER):
     """Modified Kneser-Ney by its formulas, over strings."""
-    raw = [Counter() for _ in range(order + 1)]
-    for w in words:
-        s = "\x01" + w + "\x02"
-        for k in range(1, order + 1):
-            for i in range(len(s) - k + 1):
-                if not (k == 1 and i == 0):
-                    raw[k][s[i : i + k]] += 1
-    count = [None] * (order + 1)
-    for k in range(1, order + 1):
-        count[k] = dict(raw[k])
-        if k < order:
-            left = Counter(g[1:] for g in raw[k + 1])
-            count[k] = {g: n if g[0] == "\x01" else left.get(g, 1) for g, n in raw[k].items()}
+    stream = lambda t: "\t" * (order - 2) + " " + " ".join(t.split()) + " "
+    count = {order: Counter(s[i - order + 1 : i + 1] for s in map(stream, filter(None, texts)) for i in range(order - 1, len(s)))}
+    for k in range(order - 1, 0, -1):
+        count[k] = Counter(g[1:] for g in count[k + 1])
     model = {}
 
     def lower(k, g):
-        return model[k][0].get(g) if k else 1 / (len(count[1]) + 1)
+        return model[k][0][g] if k else 1 / (len(count[1]) + 1)
 
     for k in range(1, order + 1):
         n = [sum(c == i for c in count[k].values()) for i in range(5)]
@@ -64,10 +54,10 @@ def direct(words, order=quality.ORDER):
             held[g[:-1]] += d[min(3, c)]
         model[k] = ({g: (c - d[min(3, c)]) / total[g[:-1]] + held[g[:-1]] / total[g[:-1]] * lower(k - 1, g[1:]) for g, c in count[k].items()}, {h: held[h] / total[h] for h in total})
 
-    def logp(word):
-        s, out = "\x01" + word + "\x02", 0.0
-        for i in range(1, len(s)):
-            k = min(order, i + 1)
+    def logp(text):
+        s, out = stream(text), 0.0
+        for i in range(order - 1, len(s)):
+            k = order
             while k and s[i - k + 1 : i + 1] not in model[k][0]:
                 if k > 1 and s[i - k + 1 : i] in model[k][1]:
                     out += math.log(model[k][1][s[i - k + 1 : i]])
@@ -78,16 +68,43 @@ def direct(words, order=quality.ORDER):
     return logp
 
 
-def test_model_is_modified_kneser_ney(spark):
+def scores(uris, lang, texts):
+    return quality.Scorer(uris).texts([lang] * len(texts), [quality.split(t.encode()) for t in texts])
+
+
+def test_model_is_modified_kneser_ney(spark, monkeypatch):
     r = random.Random(14)
     words = ["".join(r.choice("abcé") for _ in range(r.randint(1, 7))) for _ in range(400)]
-    texts = [(i, " ".join(words[i::20])) for i in range(20)]
-    models = quality.fit(docs(spark, texts).repartition(3))
-    logp = direct(words)
-    scorer = quality.Scorer(models)
-    new = [*words[:50], "zebra", "abz", "é", "x" * 30]
-    got = scorer.words("en", [w.encode() for w in new])
-    assert np.allclose(got, [logp(w) for w in new], atol=1e-4)
+    texts = [" ".join(words[i::20]) for i in range(20)] + ["a", "", "b c", "the end"]
+    rows = [(i, t, lang) for i, t in enumerate(texts) for lang in ("en", None)] + [(99, "otra lengua", "es")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    logp, new = direct(texts), [*texts, "zebra abz é", "x" * 30, "é a é b"]
+    want = [logp(t) if t else 0.0 for t in new]
+    for step in (1 << 20, 7):
+        monkeypatch.setattr(quality, "STEP", step)
+        uris = quality.fit(df)
+        for lang in ("en", ""):
+            assert np.allclose(scores(uris, lang, new), want, atol=1e-3)
+    scorer = quality.Scorer(uris, max_keys=5)
+    assert np.allclose([scorer.texts(["en"], [quality.split(t.encode())])[0] for t in new], want, atol=1e-3)
+
+
+def test_order_of_words_counts(spark):
+    r = random.Random(20)
+    pairs = [("ab", "cd"), ("ef", "gh"), ("ij", "kl"), ("mn", "op")]
+    texts = [(i, " ".join(w for _ in range(30) for w in r.choice(pairs))) for i in range(50)]
+    uris = quality.fit(docs(spark, texts))
+    text = texts[0][1]
+    words = text.split()
+    r.shuffle(words)
+    kept, shuffled = scores(uris, "en", [text, " ".join(words)])
+    assert shuffled < kept - 20
+
+
+def test_long_words_in_bounded_slices(spark):
+    texts = [(i, " ".join(random.Random(i).choice("xyz") * 20_000 + str(j) for j in range(20))) for i in range(10)]
+    got = quality.quality(docs(spark, texts)).collect()
+    assert len(got) == 10 and all(x["log_perplexity"] > 0 for x in got)
 
 
 def test_bands_and_edges(spark):
@@ -106,11 +123,11 @@ def test_bands_and_edges(spark):
     assert quality.quality(docs(spark, [])).count() == 0
 
 
-def test_pruned_model(spark):
-    texts = [(i, f"common words come again {i}") for i in range(30)]
-    models = quality.fit(docs(spark, texts), max_entries=60)
-    assert len(models["en"][0]) < 120 and np.isfinite(quality.Scorer(models).words("en", [b"common", b"zz9"])).all()
-
-
-def test_no_cap_by_default():
-    assert all(inspect.signature(f).parameters["max_entries"].default is None for f in (quality.fit, quality.quality))
+def test_small_languages_have_bands_of_their_own(spark):
+    r = random.Random(21)
+    text = lambda ws: " ".join(r.choice(ws) for _ in range(90))
+    rows = [(i, text(["uno", "dos", "tres", "cuatro", "gatos", "perros"]), "es") for i in range(12)] + [(100 + i, text(["the", "cat", "sat", "today", "mats"]), "en") for i in range(300)] + [(500, text(["sola", "lengua", "pero", "larga"]), "xx")]
+    got = {x["doc_id"]: x for x in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[500]["kept"] or got[500]["base_failed"]
+    assert len({got[i]["low_off_log_perplexity"] for i in range(12)}) == 1
+    assert got[0]["low_off_log_perplexity"] != got[100]["low_off_log_perplexity"]
