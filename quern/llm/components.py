@@ -15,6 +15,24 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
+class Forest:
+    """Union-find over places in an array."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.root(i), self.root(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
+
+
 def _ends(parents: DataFrame) -> DataFrame:
     """node, parent with each pointer followed to its end; parents: node, parent (with parent <= node, ends pointing to themselves)."""
     while True:
@@ -26,7 +44,7 @@ def _ends(parents: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes (node, label) with the least label of the node's component; edges: a, b. Null labels are the greatest."""
+    """nodes (node, label) with the least label of the node's component; edges: a, b. Nodes are of any type that has an order. Null labels are the greatest."""
     maps: list[DataFrame] = []
     left = edges.filter("a <> b").select("a", "b")
     while left.limit(1).count():

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bytes_of, dropped, stored
-from .components import components
+from .components import Forest, components
 
 #: A-Z become a-z, white space becomes a space; other bytes stay.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
@@ -112,24 +112,6 @@ def distance(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
 
 
-class Forest:
-    """Union-find over places in an array."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
-
-
 def links_within(codes: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links of a spanning forest among codes (rows of words) in Gray order, by a hierarchy of nodes over them."""
     n = len(codes)

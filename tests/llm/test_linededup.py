@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -120,14 +121,67 @@ def test_texts_without_lines(spark):
     gone, got = brute(texts), {r["doc_id"]: r for r in kept.collect()}
     for i, t in texts:
         key = (i is not None, i or 0)
-        left = [x for k, x in enumerate((t or "").split("\n")) if k not in gone.get(key, ())]
-        share = sum(len(x.strip()) for x in left) / max(1, sum(len(x.strip()) for x in (t or "").split("\n")))
+        left = "\n".join(x for k, x in enumerate((t or "").split("\n")) if k not in gone.get(key, ()))
         if key not in gone:
             assert got[i]["text"] == t
-        elif share < linededup.LEFT:
+        elif not left.strip():
             assert i not in got
         else:
-            assert got[i]["text"] == "\n".join(left) and got[i]["n_chars"] == len("\n".join(left))
+            assert got[i]["text"] == left and got[i]["n_chars"] == len(left)
+
+
+def test_large_groups_are_cut(spark, monkeypatch):
+    texts = table(22)
+    monkeypatch.setattr(linededup, "LARGE", 3)
+    monkeypatch.setattr(linededup, "STEP", 40)
+    got = linededup.removed_lines(docs(spark, texts).repartition(3)).collect()
+    assert {(r["doc_id"] is not None, r["doc_id"] or 0): set(r["removed"]) for r in got if r["removed"]} == brute(texts)
+
+
+def test_lines_that_differ_by_a_counter(spark, monkeypatch):
+    """Rows are in proportion to the lines, not to their pairs."""
+    monkeypatch.setattr(linededup, "LARGE", 2500)
+    n = 6_000
+    df = spark.range(n).selectExpr("id as doc_id", "concat('this is page number ', lpad(id, 6, '0'), ' of the whole and long report') as text").repartition(4)
+    members = linededup._groups(df, 40, 2).cache()
+    assert members.count() < 20 * n
+    texts = linededup._texts(df, members.select("hi", "lo").distinct(), 40)
+    assert linededup._links(members, texts, 2).count() < 20 * n
+    got = linededup.removed_lines(df).selectExpr("sum(size(removed)) as n", "max(get(kept_in, 0)) as kept").first()
+    assert got["n"] == n - 1 and got["kept"] == 0
+
+
+def test_forest_joins_what_is_near():
+    r = random.Random(23)
+    for _ in range(20):
+        base = ["".join(r.choice("abc") for _ in range(12)) for _ in range(4)]
+        lines = list({changed(r, r.choice(base), r.randint(0, 3)) for _ in range(30)})
+        probe = np.array([r.random() < 0.3 for _ in lines])
+        joined = linededup.Forest(len(lines))
+        pairs = linededup.forest(lines, probe, 2)
+        for i, j in pairs:
+            assert edits(lines[i], lines[j]) <= 2 and not (probe[i] and probe[j]) and joined.join(i, j)
+        want = linededup.Forest(len(lines))
+        for i in range(len(lines)):
+            for j in range(i):
+                if not (probe[i] and probe[j]) and edits(lines[i], lines[j]) <= 2:
+                    want.join(i, j)
+        assert [joined.root(i) for i in range(len(lines))] == [want.root(i) for i in range(len(lines))]
+
+
+def test_names_that_clash(spark):
+    line = "this line is long enough to be compared with all others"
+    names = ["_gone", "_kept", "gone", "kept", "same", "row", "line", "x.y"]
+    df = spark.createDataFrame([(1, line, *range(8)), (2, f"own\n{line}", *range(8, 16))], ["doc_id", "text", *names])
+    got = {r["doc_id"]: r for r in linededup.without_lines(df).collect()}
+    assert linededup.without_lines(df).columns == df.columns
+    assert got[2]["text"] == "own" and [got[2][c] for c in names] == list(range(8, 16)) and [got[1][c] for c in names] == list(range(8))
+
+
+def test_removed_lines_are_by_row(spark):
+    a, b = (f"line {x} is long enough to be compared with all of the others" for x in ("one (1)", "two (22)"))
+    got = sorted((r["doc_id"], tuple(r["removed"])) for r in linededup.removed_lines(docs(spark, [(1, a), (5, a), (5, b)])).collect())
+    assert got == [(1, ()), (5, ()), (5, (0,))]
 
 
 def test_repeats_and_empty(spark):
