@@ -9,13 +9,14 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.sources.tables import table
 
-__all__ = ["bytes_of", "commit_file", "dropped", "filesystem", "new_path", "publish", "ready", "sha256_of_ids", "shared_dir", "stored", "table", "texts_of"]
+__all__ = ["Bits", "bytes_of", "commit_file", "dropped", "filesystem", "new_path", "publish", "ready", "sha256_of_ids", "shared_dir", "stored", "table", "texts_of"]
 
 _LOCAL: dict[str, str] = {}
 
@@ -111,6 +112,34 @@ def commit_file(uri: str, parts: list[bytes], attempt: int) -> int:
     return size
 
 
+class Bits:
+    """A filter over 64-bit keys of a fixed size, whatever their number: it says no only for keys that are none of them."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    @classmethod
+    def of(cls, keys: DataFrame, column: str, n_bits: int) -> Bits:
+        """Of a column of integers. What comes to the driver is a row for each 64 bits that aren't empty: n_bits / 64 at most."""
+        at = f"explode(array({column} & {n_bits - 1}L, shiftrightunsigned({column}, 32) & {n_bits - 1}L)) as at"
+        bits = keys.selectExpr(at).selectExpr("cast(shiftright(at, 6) as int) as word", "shiftleft(1L, cast(at & 63L as int)) as bit")
+        found = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+        words = np.zeros(n_bits // 64, np.uint64)
+        words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+        return cls(words)
+
+    def __contains__(self, key: int) -> bool:
+        return bool(self.have(np.array([key], np.int64))[0])
+
+    def have(self, keys: np.ndarray) -> np.ndarray:
+        """For each key (64 bits, of any sign) whether it may be one of them."""
+        keys, last = keys.view(np.uint64), np.uint64(64 * len(self.words) - 1)
+        out = np.ones(len(keys), bool)
+        for at in (keys & last, (keys >> np.uint64(32)) & last):
+            out &= (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return out
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """Python strings of a column; null becomes the empty text."""
     return [x or "" for x in batch.column(name).to_pylist()]

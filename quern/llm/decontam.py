@@ -2,36 +2,42 @@
 
 An item's windows are the sets to be contained, of shingles of up to SHINGLE words. Shingles
 are ordered by rarity, which is their number of documents, counted over all documents. For
-exact containment one shingle is a necessary prefix: the rarest of each window. Documents that
-hold it propose the window at the place that it has there; windows that would start before the
-document or end after it are out; the others are compared word by word.
+exact containment one shingle is a necessary prefix: the rarest of each window. Documents put out
+a row, with the words around it, where they may hold a prefix; these rows are joined with the windows on
+the prefix, windows that would start before the document or end after it are out, and the others are
+compared word by word.
 
-Windows are held in memory by block of at most ``block_bytes`` of item text, a size that is
-checked. Where a benchmark has more, the documents are gone through once for each block.
+Windows, shingles and prefixes are rows; nothing of the benchmark comes to the driver but two filters of a fixed
+size (FILTER_BITS), which keep shingles that are in no window, or are no prefix, from the shuffle. The fuller
+they are the more rows are shuffled; results are the same.
 
 Nulls, ties, empties: null and empty texts have no words and no hits; items without words have
 no windows; a window of several items, or an item id that repeats, counts for each id once;
 windows of an item without an id mark words but name no item; an empty benchmark marks nothing;
-repeated documents and null doc_ids are separate rows; columns other than those named aren't read.
+repeated documents and null doc_ids are separate rows; rows are told apart by doc_id and text; of columns other
+than those named none is read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, stored
+from .common import Bits, bytes_of, dropped, stored
 
 SHINGLE = 3
+#: Bits of each filter.
+FILTER_BITS = 1 << 26
+#: Words whose hashes a task keeps; shingles that it holds until it adds them up.
+KNOWN, HELD = 500_000, 1 << 21
 # Bytes that end a word become spaces, A-Z become a-z; bytes of other characters stay.
 _WORDS = bytes(b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
-
-Window = tuple[bytes, ...]
+_P = np.uint64(0x9E3779B97F4A7C15)
+_Q = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -39,64 +45,146 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_WORDS).split()
 
 
-def windows_of(words: list[bytes], width: int) -> list[Window]:
-    return [tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
+def windows_of(words: list[bytes], width: int) -> list[list[bytes]]:
+    return [words[i : i + width] for i in range(max(1, len(words) - width + 1))] if words else []
+
+
+class Shingles:
+    """Hashes of shingles; those of words that were met are kept."""
+
+    def __init__(self) -> None:
+        self.known: dict[bytes, int] = {}
+
+    def __call__(self, words: list[bytes], width: int) -> np.ndarray:
+        """Of the shingles of so many words that start at each word."""
+        from xxhash import xxh3_64_intdigest
+
+        if len(words) < width:
+            return np.zeros(0, np.int64)
+        found = list(map(self.known.get, words))
+        if None in found:
+            if len(self.known) > KNOWN:
+                self.known.clear()
+            new = {w: xxh3_64_intdigest(w) for w, h in zip(words, found, strict=True) if h is None}
+            self.known.update(new)
+            found = [new[w] if h is None else h for w, h in zip(words, found, strict=True)]
+        h = np.array(found, np.uint64)
+        n = len(h) - width + 1
+        out = np.full(n, width, np.uint64)
+        for i in range(width):
+            out = (out * _P) ^ h[i : i + n]
+            out = (out ^ (out >> np.uint64(29))) * _Q
+        return (out ^ (out >> np.uint64(32))).view(np.int64)
+
+
+def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
+    """item_id, hi, lo (the window's hash), width, words (space-joined), shingles (of min(SHINGLE, width) words) of each item's windows."""
+    names = ["item_id", "hi", "lo", "width", "words", "shingles"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import struct
+
+        from xxhash import xxh3_128_digest
+
+        of = Shingles()
+        for b in batches:
+            for item, text in zip(b.column("item_id").to_pylist(), bytes_of(b), strict=True):
+                words = words_of(text)
+                own = windows_of(words, width)
+                size = min(width, len(words))
+                k = min(SHINGLE, size)
+                shingles = of(words, k).tolist() if words else []
+                for s in range(0, len(own), 5000):
+                    part = [b" ".join(w) for w in own[s : s + 5000]]
+                    hashes = [struct.unpack("<qq", xxh3_128_digest(w)) for w in part]
+                    n = len(part)
+                    cols = [[item] * n, [h[0] for h in hashes], [h[1] for h in hashes], [size] * n, [w.decode() for w in part], [shingles[i : i + size - k + 1] for i in range(s, s + n)]]
+                    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64())]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names)
+
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    return rows.mapInArrow(run, "item_id long, hi long, lo long, width int, words string, shingles array<long>")
+
+
+def rarity(docs: DataFrame, keys: DataFrame, sizes: list[int]) -> DataFrame:
+    """shingle, n: documents that hold each of the shingles (and some others); keys: shingle. A row for each shingle and task is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(Bits.of(keys, "shingle", FILTER_BITS).words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, bits, held, size = Shingles(), Bits(shared.value), [], 0
 
+        def added() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["shingle", "n"])
 
-def shingles_of(window: Window) -> list[tuple[int, bytes]]:
-    k = min(SHINGLE, len(window))
-    return [(i, b" ".join(window[i : i + k])) for i in range(len(window) - k + 1)]
+        for b in batches:
+            for text in bytes_of(b):
+                words = words_of(text)
+                for k in sizes:
+                    found = of(words, k)
+                    held.append(np.unique(found[bits.have(found)]))
+                    size += len(held[-1])
+                if size > HELD:
+                    yield added()
+                    held, size = [], 0
+        if held:
+            yield added()
 
+    return docs.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
 
-def sizes_by_first(shingles) -> dict[bytes, tuple[int, ...]]:
-    """For the first word of each shingle, the shingles' numbers of words."""
-    out: dict[bytes, set[int]] = {}
-    for s in shingles:
-        words = s.split(b" ")
-        out.setdefault(words[0], set()).add(len(words))
-    return {w: tuple(sorted(k)) for w, k in out.items()}
 
+def candidates(docs: DataFrame, keys: DataFrame, sizes: list[int], width: int) -> DataFrame:
+    """doc_id, same (a hash of the text), n_words, places (of shingles that may be one of the keys: shingle, at, before, around) of each document.
 
-def rarity(docs: DataFrame, shingles: Broadcast, text: str) -> dict[bytes, int]:
-    """Documents of each of the shingles; a row for each shingle and task at most is shuffled."""
+    around: the words that a window with the shingle may hold, space-joined; before: how many of them stand before it.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(Bits.of(keys, "shingle", FILTER_BITS).words)
+    kind = pa.list_(pa.struct([("shingle", pa.int64()), ("at", pa.int32()), ("before", pa.int32()), ("around", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, first, seen = shingles.value, sizes_by_first(shingles.value), Counter()
+        of, bits = Shingles(), Bits(shared.value)
         for b in batches:
-            for text_ in bytes_of(b):
-                words = words_of(text_)
-                found = {b" ".join(words[i : i + k]) for i, w in enumerate(words) if w in first for k in first[w]}
-                seen.update(found & known)
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["shingle", "n"])
-
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(run, "shingle binary, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    return {bytes(r["shingle"]): r["n"] for r in rows.collect()}  # as many as the block has
-
-
-class Index:
-    """Windows by their rarest shingle: the window, its place in it, its items."""
-
-    def __init__(self, windows: dict[Window, list[int]], seen: dict[bytes, int]):
-        self.by_prefix: dict[bytes, list[tuple[int, list[bytes], list[int]]]] = {}
-        for window, items in windows.items():
-            at, prefix = min(shingles_of(window), key=lambda s: (seen.get(s[1], 0), s[1], s[0]))
-            if seen.get(prefix):  # else no document has it
-                self.by_prefix.setdefault(prefix, []).append((at, list(window), items))
-        self.first = sizes_by_first(self.by_prefix)
-
-    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
-        """Stretches of words inside any occurrence of a window, and the items of those windows."""
-        first, by_prefix, n = self.first, self.by_prefix, len(words)
-        spans: list[tuple[int, int]] = []
-        items: set[int] = set()
-        for i in [i for i, w in enumerate(words) if w in first]:
-            for k in first[words[i]]:
-                for at, window, own in by_prefix.get(b" ".join(words[i : i + k]), ()):
-                    lo, hi = i - at, i - at + len(window)
-                    if lo >= 0 and hi <= n and words[lo:hi] == window:
-                        spans.append((lo, hi))
-                        items.update(own)
-        return merged(spans), items
+            size, places = [], []
+            for text in bytes_of(b):
+                words, own = words_of(text), []
+                for k in sizes:
+                    found = of(words, k)
+                    for i in np.flatnonzero(bits.have(found)).tolist():
+                        lo = max(0, i - width + 1)
+                        own.append({"shingle": int(found[i]), "at": i, "before": i - lo, "around": b" ".join(words[lo : i + width]).decode()})
+                size.append(len(words))
+                places.append(own)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("same"), pa.array(size, pa.int64()), pa.array(places, kind)], ["doc_id", "same", "n_words", "places"])
+
+    rows = docs.select("doc_id", F.xxhash64("text").alias("same"), "text")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, same long, n_words long, places array<struct<shingle: long, at: int, before: int, around: string>>")
+
+
+def found_windows(docs: DataFrame, benchmark: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three stored tables: doc_id, same, n_words of each document; doc_id, same, start, end, hi, lo of each window found in it; item_id, hi, lo of each window.
+
+    docs: doc_id, text.
+    """
+    items = stored(item_windows(benchmark, width), "windows")
+    windows = items.groupBy("hi", "lo").agg(F.any_value("width").alias("width"), F.any_value("words").alias("words"), F.any_value("shingles").alias("shingles"))
+    windows = stored(windows, "distinct")
+    each = stored(windows.select("hi", "lo", F.posexplode("shingles").alias("offset", "shingle")), "shingles")
+    keys = each.select("shingle").distinct()
+    sizes = sorted(r[0] for r in windows.select(F.least(F.lit(SHINGLE), "width")).distinct().collect())  # 1 to SHINGLE
+    seen = stored(rarity(docs.select("text"), keys, sizes), "rarity")
+    rarest = each.join(seen, "shingle").groupBy("hi", "lo").agg(F.min(F.struct("n", "shingle", "offset")).alias("rarest"), F.count("*").alias("met"))
+    # A window of which a shingle is in no document is in none.
+    rarest = rarest.join(windows, ["hi", "lo"]).filter(F.col("met") == F.size("shingles"))
+    prefixes = stored(rarest.select("hi", "lo", "width", "words", F.col("rarest.shingle").alias("shingle"), F.col("rarest.offset").alias("offset")), "prefixes")
+    by_doc = stored(candidates(docs, prefixes.select("shingle").distinct(), sizes, width), "places")
+    places = by_doc.select("doc_id", "same", F.explode("places").alias("p")).select("doc_id", "same", "p.*")
+    met = places.join(prefixes, "shingle").withColumn("list", F.split("around", " "))
+    fits = (F.col("before") >= F.col("offset")) & (F.col("before") - F.col("offset") + F.col("width") <= F.size("list"))
+    met = met.filter(fits).filter(F.array_join(F.slice("list", F.col("before") - F.col("offset") + 1, F.col("width")), " ") == F.col("words"))
+    start = F.col("at") - F.col("offset")
+    hits = stored(met.select("doc_id", "same", start.alias("start"), (start + F.col("width")).alias("end"), "hi", "lo"), "hits")
+    dropped(windows, each, seen, prefixes)
+    return by_doc.drop("places"), hits, items.select("item_id", "hi", "lo")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -109,62 +197,28 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def indexes(docs: DataFrame, benchmark: DataFrame, width: int, text: str, block_bytes: int) -> Iterator[Broadcast]:
-    """An index for each block of the benchmark."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).filter("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-size // block_bytes)
-    for k in range(blocks):
-        windows: dict[Window, set[int]] = {}
-        for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toLocalIterator():
-            for w in windows_of(words_of(r["text"].encode()), width):
-                windows.setdefault(w, set()).update(() if r["item_id"] is None else (r["item_id"],))
-        shingles = spark.sparkContext.broadcast({s for w in windows for _, s in shingles_of(w)})
-        yield spark.sparkContext.broadcast(Index({w: sorted(x) for w, x in windows.items()}, rarity(docs, shingles, text)))
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: str = "text") -> DataFrame:
+    """doc_id, n_words, spans (array of start and end, in words), items (array of item_id) of each document."""
+    by_doc, hits, items = found_windows(docs.select("doc_id", F.col(text).alias("text")), benchmark, width)
+    spans = hits.groupBy("doc_id", "same").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # as many as its words
+    named = hits.select("doc_id", "same", "hi", "lo").distinct().join(items.filter("item_id is not null"), ["hi", "lo"])
+    named = named.groupBy("doc_id", "same").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
 
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [[{"start": lo, "end": hi} for lo, hi in merged([(s["start"], s["end"]) for s in x])] for x in b.column("spans").to_pylist()]
+            yield b.set_column(2, "spans", pa.array(own, b.schema.field("spans").type))
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
-    """doc_id, n_words, spans (array of start and end, in words), items (array of item_id) of each document."""
-    rows = docs.select(F.col("doc_id"), F.col(text).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start: int, end: int>>)").alias("spans"), F.expr("cast(array() as array<bigint>)").alias("items"))
-    schema, done = rows.schema, False
-
-    def scan(index: Broadcast | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                spans, items, n = b.column("spans").to_pylist(), b.column("items").to_pylist(), []
-                for i, t in enumerate(bytes_of(b)):
-                    words = words_of(t)
-                    n.append(len(words))
-                    if index:
-                        found, own = index.value.hits(words)
-                        if found:
-                            spans[i] = [{"start": lo, "end": hi} for lo, hi in merged([*found, *((s["start"], s["end"]) for s in spans[i])])]
-                            items[i] = sorted({*items[i], *own})
-                types = [b.schema.field(c).type for c in ("spans", "items")]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(n, pa.int64()), pa.array(spans, types[0]), pa.array(items, types[1])], b.schema.names)
-
-        return run
-
-    for n, index in enumerate(indexes(docs, benchmark, width, text, block_bytes)):
-        rows = (stored(rows, "blocks") if n else rows).mapInArrow(scan(index), schema)
-        done = True
-    if not done:
-        rows = rows.mapInArrow(scan(None), schema)
-    return rows.drop("text")
+    spans = stored(spans.mapInArrow(merge, spans.schema), "spans").alias("s")
+    named = stored(named, "named").alias("i")
+    same = lambda t: F.col("d.doc_id").eqNullSafe(F.col(f"{t}.doc_id")) & (F.col("d.same") == F.col(f"{t}.same"))
+    none = lambda c, t: F.coalesce(c, F.expr(f"cast(array() as {t})")).alias(c.split(".")[1])
+    rows = by_doc.alias("d").join(spans, same("s"), "left").join(named, same("i"), "left")
+    return rows.select("d.doc_id", "d.n_words", none("s.spans", "array<struct<start: int, end: int>>"), none("i.items", "array<bigint>"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """The documents without any word inside a window of the benchmark, in all their columns."""
-    rows = docs
-
-    def scan(index: Broadcast):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.filter(pa.array([not index.value.hits(words_of(t))[0] for t in bytes_of(b)], pa.bool_()))
-
-        return run
-
-    for index in indexes(docs, benchmark, width, "text", 16 << 20):
-        rows = rows.mapInArrow(scan(index), docs.schema)
-    return rows
+    _, hits, _ = found_windows(docs.select("doc_id", "text"), benchmark, width)
+    gone = stored(hits.select("doc_id", "same").distinct(), "gone")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["same"]), "left_anti")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, stored, texts_of
+from .common import Bits, dropped, stored, texts_of
 from .components import Forest, components
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -387,17 +387,11 @@ def forest(lines: list[str], probe: np.ndarray, radius: int) -> list[tuple[int,
 
 def _texts(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     """hi, lo, text of the wanted lines (hi, lo). A filter of a fixed size keeps most others from the shuffle."""
-    bits = wanted.selectExpr(f"cast(shiftright(lo & {FILTER_BITS - 1}L, 6) as int) as word", "shiftleft(1L, cast(lo & 63L as int)) as bit")
-    set_ = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # FILTER_BITS / 64 rows at most
-    words = np.zeros(FILTER_BITS // 64, np.uint64)
-    words[set_.column("word").to_numpy()] = set_.column("bits").to_numpy().view(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    shared = docs.sparkSession.sparkContext.broadcast(Bits.of(wanted, "lo", FILTER_BITS).words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for hashes, lines in _distinct(batches, least):
-            place = hashes[:, 1] & (FILTER_BITS - 1)
-            ok = (shared.value[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)
-            mine = np.flatnonzero(ok)
+            mine = np.flatnonzero(Bits(shared.value).have(np.ascontiguousarray(hashes[:, 1])))
             yield pa.RecordBatch.from_arrays([pa.array(hashes[mine, 0]), pa.array(hashes[mine, 1]), pa.array([lines[i] for i in mine.tolist()], pa.string())], ["hi", "lo", "text"])
 
     found = docs.mapInArrow(run, "hi long, lo long, text string").groupBy("hi", "lo").agg(F.any_value("text").alias("text"))

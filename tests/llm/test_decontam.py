@@ -48,9 +48,28 @@ def test_against_brute_force(spark):
     assert found(spark, texts, items) == brute(texts, items)
 
 
-def test_many_blocks_give_the_same(spark):
+def test_full_filters_give_the_same(spark, monkeypatch):
     texts, items = case(2)
-    assert found(spark, texts, items, block_bytes=150) == brute(texts, items)
+    monkeypatch.setattr(decontam, "FILTER_BITS", 64)
+    assert found(spark, texts, items) == brute(texts, items)
+
+
+def test_shingles_are_alike_wherever_they_stand():
+    of = decontam.Shingles()
+    w = decontam.words_of(b"a b c d A-b c b c d")
+    for k in (1, 2, 3):
+        got = of(w, k).tolist()
+        assert len(set(got)) == len({tuple(w[i : i + k]) for i in range(len(w) - k + 1)})
+        assert got == decontam.Shingles()(w, k).tolist()
+
+
+def test_rows_that_share_a_doc_id(spark):
+    items = [(1, " ".join(f"w{i}" for i in range(12)))]
+    leak = "so " + items[0][1]
+    assert found(spark, [(1, leak), (1, "clean text"), (None, leak), (None, None), (2, leak), (2, leak)], items) == sorted([(1, 13, 12, [1]), (1, 2, 0, []), (None, 13, 12, [1]), (None, 0, 0, []), (2, 13, 12, [1]), (2, 13, 12, [1])], key=str)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    left = decontam.decontaminate(docs(spark, [(1, leak), (1, "clean text"), (None, leak), (None, None), (2, leak)]), bench).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in left) == [("1", "clean text"), ("None", None)]
 
 
 def test_very_long_and_empty(spark):
