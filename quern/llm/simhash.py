@@ -12,9 +12,8 @@ nodes, and only pairs of leaves that are not pruned have their members compared.
 in a leaf, or between two, a spanning forest is kept, which joins the same components.
 
 A fingerprint may have several words of 64 bits, for similarities (rather than bits) as the measure:
-256 bits tell a Jaccard similarity to about 0.03. No blocks are exact for such a radius; the default
-ones (40 of 13 bits) bring together about 99.5 % of pairs at a similarity of 0.8. They find candidates only: the similarity
-itself is taken from the sets of shingles.
+512 bits tell a Jaccard similarity to about 0.03. No blocks are exact for such a radius; plan() takes as many as bring
+together 99 % of pairs at that similarity. They find candidates only: the similarity itself is taken from the sets of shingles.
 
 Nulls, ties, empties: null and empty texts have no words and fingerprint zero, linked like any
 other; texts of fewer words than a shingle have one shingle of them all; repeated rows and equal
@@ -40,6 +39,8 @@ from .components import Forest, components
 #: A-Z become a-z, white space becomes a space; other bytes stay.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 LEAF = 64
+#: Shingles of a group of candidates that are held at a time, about.
+PART = 1 << 21
 _SHIFTS = np.arange(63, -1, -1, dtype=np.uint64)
 
 
@@ -272,58 +273,140 @@ def similar_blocks(words: int, each: int = 5) -> list[tuple[int, int]]:
     return [(w, ((1 << hi) - 1) ^ ((1 << lo) - 1)) for w in range(words) for lo, hi in zip(edges, edges[1:], strict=False)]
 
 
+def share_of_bits(similarity: float) -> float:
+    """Of the bits of two fingerprints, how many are expected to differ where sets of shingles have that Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
 def similar_radius(words: int, similarity: float) -> int:
     """Bits that differ where sets of shingles have that Jaccard similarity: as many as expected, and three standard deviations more."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    share = share_of_bits(similarity)
     return round(64 * words * share + 3 * math.sqrt(64 * words * share * (1 - share)))
 
 
-def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 8) -> DataFrame:
-    """The documents, in all their columns, without those that are so similar to one that stays.
+def plan(n: int, similarity: float, recall: float = 0.99, per_document: int = 100_000) -> tuple[int, int]:
+    """Words of a fingerprint, and blocks in each word, for n documents.
+
+    Blocks are as short as they can be for each document to meet at most per_document others by chance, and so many that pairs of
+    that similarity agree in one of them with that probability. So recall is the same at every size, and work grows about as n does.
+    """
+    for each in (5, 4, 3, 2):
+        met = (1 - share_of_bits(similarity)) ** (64 / each)
+        words = math.ceil(math.log(1 - recall) / math.log(1 - met) / each)
+        if n * words * each / 2 ** (64 / each) <= per_document or each == 2:
+            break
+    return words, each
+
+
+def clusters(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (places) of a spanning forest of the sets (ascending arrays) that have that Jaccard similarity or more.
+
+    A set is held against one member after the other of a cluster, the first ones before, until one is similar, and only if it shares
+    enough with all members together. Empty sets are alike.
+    """
+    forest, out = Forest(len(sets)), []
+    members: dict[int, list[int]] = {}  # clusters by the place of their first member
+    holders: dict[int, set[int]] = {}  # clusters by shingle
+    none: int | None = None
+
+    def near(i: int, j: int) -> bool:
+        a, b = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
+        if len(a) < similarity * len(b):
+            return False
+        common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+        return common >= similarity * (len(a) + len(b) - common)
+
+    for i, own in enumerate(sets):
+        if not len(own):
+            if none is not None:
+                out.append((none, i))
+            none = i if none is None else none
+            continue
+        common: dict[int, int] = {}
+        hashes = own.tolist()
+        for h in hashes:
+            for c in holders.get(h, ()):
+                common[c] = common.get(c, 0) + 1
+        into = None
+        for c in sorted(c for c, n in common.items() if n >= similarity * len(own)):
+            for j in members[c]:
+                if near(i, j):
+                    out.append((j, i))
+                    if into is None:
+                        into = c
+                        members[c].append(i)
+                        own_cluster = set(hashes)
+                    else:  # joins two clusters
+                        for m in members[c]:
+                            own_cluster.update(sets[m].tolist())
+                        members[into] += members.pop(c)
+                        for x in own_cluster:
+                            holders.setdefault(x, set()).discard(c)
+                    break
+        if into is None:
+            into, members[i], own_cluster = i, [i], set(hashes)
+        for x in own_cluster:
+            holders.setdefault(x, set()).add(into)
+    return out
+
+
+def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents, in all their columns, without those that are near copies of one that stays.
 
-    Fingerprints of 64 * words bits find candidates; in each of their components documents are taken by doc_id (null last), and
-    one goes if the Jaccard similarity of its set of shingles to that of one kept before is high enough. Of rows that repeat a
-    doc_id and text one stays; rows are told apart by both.
+    Documents are linked where their sets of shingles have that Jaccard similarity or more; of the documents that links join,
+    that of the smallest doc_id (null last) stays. Fingerprints find candidates only (see plan()), and groups of candidates are
+    verified on the sets themselves, large groups in parts (each pair of parts by itself). Of rows that repeat a doc_id and text
+    one stays; rows are told apart by both.
     """
+    words, each = plan(docs.count(), similarity)
     names = [f"fp{w}" for w in range(words)]
-    rows = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), "text"))
-    own = rows.select(F.col("_row").alias("doc_id"), "text")
+    # A document's columns are in a struct, so that no name of theirs clashes.
+    quoted = ["`" + c.replace("`", "``") + "`" for c in docs.columns]
+    rows = docs.select(F.struct(*map(F.col, quoted)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = rows.withColumn("key", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text"))
+    own = rows.select(F.col("key").alias("doc_id"), "text")
     fps = _noded(fingerprints(own, width, words).distinct(), names)
-    found = stored(_with_components(fps, names, similar_radius(words, similarity), similar_blocks(words)).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")), "groups")
-    many = found.groupBy("_group").count().filter("count > 1").select("_group")
-    alike = found.join(many, "_group", "left_semi").join(rows.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text").dropDuplicates(["_row"]), "_row")
+    found = _with_components(fps, names, similar_radius(words, similarity), similar_blocks(words, each))
+    found = stored(found.select(F.col("doc_id").alias("key"), F.col("component_id").alias("group")), "groups")
+    many = stored(found.groupBy("group").count().filter("count > 1").select("group"), "many")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t, width).view(np.int64) for t in bytes_of(b)]
-            yield pa.RecordBatch.from_arrays([b.column("_group"), b.column("doc_id"), b.column("_row"), pa.array(sets, pa.list_(pa.int64()))], ["_group", "doc_id", "_row", "sets"])
+            sets = [np.sort(shingles(t, width).view(np.int64)) for t in bytes_of(b)]
+            yield pa.RecordBatch.from_arrays([b.column("group"), b.column("doc_id"), b.column("key"), pa.array(sets, pa.list_(pa.int64()))], ["group", "doc_id", "key", "sets"])
+
+    alike = found.join(many, "group", "left_semi").join(rows.select("key", "doc_id", "text"), "key").dropDuplicates(["key"])
+    sets = stored(alike.select("group", "doc_id", "key", "text").mapInArrow(hashed, "group long, doc_id long, key long, sets array<long>"), "sets")
+    parts = sets.groupBy("group").agg(F.ceil(F.sum(F.size("sets") + 1) / PART).cast("int").alias("parts"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = sets.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("key", F.lit(1)), "parts").cast("int")).withColumn("other", other)
+    dealt = dealt.select("group", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "key", "sets")
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, held = None, [], []
+
+        def close() -> pa.RecordBatch:
+            pairs = clusters(held, similarity)
+            return pa.RecordBatch.from_arrays([pa.array([keys[p[k]] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Of a component only what stays is held, by shingle.
-        now, sizes, holders = None, [], {}
         for b in batches:
-            gone = []
-            sets = b.column("sets")
-            for n, (group, row) in enumerate(zip(b.column("_group").to_pylist(), b.column("_row").to_pylist(), strict=True)):
-                if group != now:
-                    now, sizes, holders = group, [], {}
-                mine = sets[n].values.to_numpy().tolist()
-                common: dict[int, int] = {}
-                for h in mine:
-                    for k in holders.get(h, ()):
-                        common[k] = common.get(k, 0) + 1
-                if (not mine and 0 in sizes) or any(c >= similarity * (len(mine) + sizes[k] - c) for k, c in common.items()):
-                    gone.append(row)
-                else:
-                    for h in mine:
-                        holders.setdefault(h, []).append(len(sizes))
-                    sizes.append(len(mine))
-            yield pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], ["_row"])
-
-    sets = alike.select("_group", "doc_id", "_row", "text").mapInArrow(hashed, "_group long, doc_id long, _row long, sets array<long>")
-    sets = sets.repartition("_group").sortWithinPartitions("_group", F.col("doc_id").asc_nulls_last(), "_row")
-    gone = stored(sets.mapInArrow(repeats, "_row long"), "repeats")
-    left = rows.join(gone, "_row", "left_anti")
-    if rows.groupBy("_row").count().filter("count > 1").limit(1).count():
-        left = left.dropDuplicates(["_row"])
-    return left.select(docs.columns)
+            column, at = b.column("sets"), list(zip(*(b.column(c).to_pylist() for c in ("group", "x", "y")), strict=True))
+            for i, key in enumerate(b.column("key").to_pylist()):
+                if at[i] != now:
+                    if len(held) > 1:
+                        yield close()
+                    now, keys, held = at[i], [], []
+                keys.append(key)
+                held.append(column[i].values.to_numpy().copy())
+        if len(held) > 1:
+            yield close()
+
+    links_ = stored(dealt.repartition("group", "x", "y").sortWithinPartitions("group", "x", "y", "key").mapInArrow(verified, "a long, b long"), "similar")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    joined = components(sets.select(F.col("key").alias("node"), first.alias("label")), links_)
+    gone = stored(joined.filter(F.col("label.key") != F.col("node")).select("node").join(sets.select(F.col("key").alias("node"), "doc_id"), "node"), "gone")
+    dropped(fps, found, many, sets, links_)
+    left = rows.join(gone, (rows["key"] == gone["node"]) & rows["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    if rows.groupBy("key", "doc_id").count().filter("count > 1").limit(1).count():
+        left = left.dropDuplicates(["key", "doc_id"])
+    return left.select(*(F.col(f"row.{q}").alias(c) for q, c in zip(quoted, docs.columns, strict=True)))

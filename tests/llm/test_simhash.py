@@ -151,3 +151,64 @@ def test_rows_that_share_a_doc_id_are_told_apart(spark):
     texts = [(None, a), (None, b), (None, b), (1, a), (2, c), (2, b), (3, c)]
     got = sorted((str(x["doc_id"]), x["text"]) for x in simhash.one_of_each(docs(spark, texts)).collect())
     assert got == sorted([("1", a), ("2", b), ("2", c)])
+
+
+def test_recall_at_the_similarity(spark):
+    """Pairs of a similarity of exactly 0.8 are found, and those just below it stay."""
+    r = random.Random(24)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(5))
+    texts = []
+    for i in range(500):
+        words = [word() for _ in range(94 if i < 400 else 84)]  # 90 or 80 shingles, of which each edit costs five
+        texts.append((i, " ".join(words)))
+        for at in (20, 60):
+            words[at] = word()
+        texts.append((1000 + i, " ".join(words)))
+    own = [set(simhash.shingles(t.encode(), 5).tolist()) for _, t in texts]
+    assert all(len(own[2 * i] & own[2 * i + 1]) / len(own[2 * i] | own[2 * i + 1]) == (0.8 if i < 400 else 70 / 90) for i in range(500))
+    left = {x["doc_id"] for x in simhash.one_of_each(docs(spark, texts)).collect()}
+    assert set(range(500)) <= left and {1000 + i for i in range(400, 500)} <= left
+    assert sum(1000 + i not in left for i in range(400)) >= 0.97 * 400
+
+
+def test_plan_has_the_same_recall_at_every_size():
+    for n in (0, 1000, 10**7, 10**8, 10**9, 10**12):
+        words, each = simhash.plan(n, 0.8)
+        agree = (1 - simhash.share_of_bits(0.8)) ** (64 / each)
+        assert 1 - (1 - agree) ** (words * each) >= 0.99
+    assert simhash.plan(1000, 0.8) == (8, 5) and simhash.plan(10**9, 0.8)[1] < 5
+
+
+def test_clusters():
+    r = random.Random(25)
+    for _ in range(60):
+        base = [r.sample(range(60), r.randint(1, 30)) for _ in range(4)]
+        sets = [np.array(sorted(set(r.choice(base)) ^ set(r.sample(range(60), r.randint(0, 4)))), np.int64) for _ in range(30)] + [np.zeros(0, np.int64)] * 2
+        got, want = simhash.Forest(len(sets)), simhash.Forest(len(sets))
+        similar = lambda a, b: (not len(a) and not len(b)) or len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b))
+        pairs = simhash.clusters(sets, 0.8)
+        assert all(similar(sets[i], sets[j]) and got.join(i, j) for i, j in pairs)
+        for i in range(len(sets)):
+            for j in range(i):
+                if similar(sets[i], sets[j]):
+                    want.join(i, j)
+        assert [got.root(i) for i in range(len(sets))] == [want.root(i) for i in range(len(sets))]
+
+
+def test_large_groups_in_parts_and_names_that_clash(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PART", 300)
+    r = random.Random(26)
+    words = [str(r.random()) for _ in range(80)]
+    texts = [(i, " ".join([*words, str(i)])) for i in range(40)] + [(100 + i, " ".join(str(r.random()) for _ in range(40))) for i in range(5)]
+    names = ["_row", "key", "group", "sets", "node", "_group", "row", "x.y"]
+    df = spark.createDataFrame([(i, t, *range(i, i + 8)) for i, t in texts], ["doc_id", "text", *names])
+    got = simhash.one_of_each(df)
+    assert got.schema == df.schema
+    assert sorted(tuple(x)[0] for x in got.collect()) == [0, *range(100, 105)] and {tuple(x)[2:] for x in got.collect()} == {tuple(range(i, i + 8)) for i in (0, *range(100, 105))}
+
+
+def test_chains_are_one_group(spark):
+    r = random.Random(27)
+    words = [str(r.random()) for _ in range(100)]
+    texts = [(i, " ".join(words[4 * i : 4 * i + 60])) for i in range(8)]  # each similar to the next one only
+    assert [x["doc_id"] for x in simhash.one_of_each(docs(spark, texts)).collect()] == [0]
