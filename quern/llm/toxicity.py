@@ -203,7 +203,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Model:
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # the stated bound
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    distinct = rows.dropDuplicates()  # a document that was copied says no more than one
+    rows = stored(rows, "labelled")  # max_rows rows at most (more where a doc_id repeats)
+    distinct = stored(rows.dropDuplicates(), "distinct")  # a document that was copied says no more than one
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
@@ -219,6 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), n if toxic else zero, zero if toxic else n], ["word", "toxic", "clean"])
 
     words = distinct.mapInArrow(count, "word binary, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    words = stored(words, "words")
     totals = words.agg(F.count("*"), F.sum("toxic"), F.sum("clean")).first()
     n_words, n_toxic, n_clean = (int(x or 0) for x in totals)
     if not n_toxic or not n_clean:
@@ -264,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Model:
                 out.append([known[w] for w in words])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.float64())), pa.array(toxic, pa.int64())], ["v", "y"])
 
-    sample = stored(rows.mapInArrow(values, "v array<double>, y long"), "values")  # max_rows rows at most (more where a doc_id repeats)
+    sample = stored(rows.mapInArrow(values, "v array<double>, y long"), "values")
 
     def gathered(of, names: list[str]) -> np.ndarray:
         """What a function says of each sampled document's scores and label, in an order of its own."""
@@ -287,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Model:
     model.k = k = float(math.log(2) / max(median, 1e-9))
     x = gathered(lambda v, y: (*evidence(len(v), maximal((v - shift).tolist()), k), y), ["any", "best", "sum", "beyond", "y"])
     model.weights, model.bias = logistic(x[:, :-1], x[:, -1])
-    dropped(sample)
+    dropped(sample, words, distinct, rows)
     mine = [bytes(r["word"]) for r in alone]
     model.scores = dict(sorted(zip(mine, Scorer(model).fresh(mine), strict=True)))
     return model
