@@ -267,12 +267,13 @@ def read_model(uris: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 class Scorer:
-    """Log-probabilities of texts; those of words and windows are kept."""
+    """Log-probabilities of texts; those of the first max_keys words and windows are kept, among which common ones are."""
 
-    def __init__(self, uris: list[str], max_keys: int = 500_000):
+    def __init__(self, uris: list[str], max_keys: int = 1_000_000):
         self.keys, self.logp, self.weight = read_model(tuple(uris))
         self.max_keys = max_keys
         self.known: dict[str, tuple[dict[str, float], dict[str, float]]] = {}
+        self.n_known = 0
 
     def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
@@ -311,18 +312,22 @@ class Scorer:
             for kind in (0, 1):
                 values = {i: list(map(known[kind].get, texts[i][kind])) for i in mine}
                 missing = {x for i, v in values.items() if None in v for x, y in zip(texts[i][kind], v, strict=True) if y is None}
-                if sum(len(x) for both in self.known.values() for x in both) + len(missing) > self.max_keys:
-                    for both in self.known.values():
-                        for x in both:
-                            x.clear()
                 keys = list(missing)
                 new = dict(zip(keys, self.fresh(lang, keys, bool(kind)), strict=True))
-                known[kind].update(new)
+                if self.n_known + len(new) <= self.max_keys:
+                    known[kind].update(new)
+                    self.n_known += len(new)
                 for i, v in values.items():
                     out[i] += sum(new[x] if y is None else y for x, y in zip(texts[i][kind], v, strict=True)) if None in v else sum(v)
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def scorer_of(uris: tuple[str, ...]) -> Scorer:
+    """One for each Python worker."""
+    return Scorer(list(uris))
+
+
 def fit(docs: DataFrame) -> list[str]:
     """Files of a model of every n-gram of all documents."""
     grams = stored(count_ngrams(docs), "ngrams")
@@ -352,9 +357,8 @@ def measures(docs: DataFrame, uris: list[str]) -> DataFrame:
     """doc_id, lang, the counts, and the log-perplexity by word and by character (null without words) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = None
         for b in batches:
-            scorer = scorer or Scorer(uris)
+            scorer = scorer_of(tuple(uris))
             for s in range(0, b.num_rows, 500):
                 part = b.slice(s, 500)
                 langs, raws = part.column("lang").to_pylist(), bytes_of(part)
