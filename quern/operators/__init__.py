@@ -1,0 +1 @@
+"""Operators that Spark has no name for, composed of those that it has."""

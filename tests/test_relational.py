@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from quern.plans import more  # noqa: F401
 from quern.plans.relational import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
