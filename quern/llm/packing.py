@@ -1,13 +1,13 @@
 """Best-fit packing of documents into sequences of bounded length, in bulk-synchronous supersteps.
 
 Documents are encoded where they lie and cut into pieces. Pieces are range-sorted by length and
-ranked within their length; gaps of open sequences are kept sorted by size. A superstep takes
-the longest length not yet placed: a successor sweep finds the smallest gaps that still hold it,
-pieces and gaps that claim each other are paired by rank, and the gaps are updated. All pieces
-of a length, and all sequences with the same gap, are alike, so that the supersteps work on
-runs of ranks: at most ``capacity`` lengths and gaps, whatever the number of rows. Each piece
-then finds the run that holds its rank, on the executors. The result is that of best-fit
-decreasing.
+ranked within their length, both on the executors. All pieces of a length are alike, and so are all
+sequences with the same gap, so that of each only their number matters: at most ``capacity`` lengths and gaps,
+whatever the number of rows. A superstep takes the longest length not yet placed: a successor sweep
+finds the smallest gaps that still hold it, pieces and gaps that claim each other are paired by rank, and the gaps are
+updated. The sweeps over these numbers run on the driver (some 1,500 runs and 15 milliseconds for 10**5 and for 10**11 pieces
+of all lengths alike); as rows they would be a thousand supersteps, each with a shuffle. Each piece then finds the run that
+holds its rank, on the executors. The result is that of best-fit decreasing.
 
 Nulls, ties, empties: a null text is an empty one (the end id alone); repeated rows and equal
 or null doc_ids are separate documents; an empty table gives no rows; columns other than doc_id
