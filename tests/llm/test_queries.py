@@ -1,7 +1,6 @@
 """The registered queries themselves, over tables with odd rows, against brute force."""
 
 import hashlib
-import re
 import zlib
 
 import numpy as np
@@ -12,6 +11,7 @@ from quern.llm import queries
 
 from .helpers import ODD
 from .test_bpe_tokenbin_packing import best_fit_decreasing, check_packed, whole
+from .test_decontam import words
 from .test_quality import brute_counts
 from .test_secrets import brute as brute_secrets
 from .test_simhash import brute_fp, roots
@@ -104,7 +104,6 @@ def test_op10(spark, folder):
 
 def test_op1_and_op9_columns(spark, folder):
     one, nine = run(spark, "op1_decontamination", folder), run(spark, "op9_line_dedup", folder)
-    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t or "")
     assert all(one[i]["n_words"] == len(words(t)) for i, t in rows_of())
     assert {i for i, r in one.items() if r["contaminated"]} == {24, 6} and one[24]["n_items"] == 1
     assert one[24]["items_sha256"] == hashlib.sha256(b"1").hexdigest() and one[6]["items_sha256"] == hashlib.sha256(b"").hexdigest()
