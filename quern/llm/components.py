@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, stored
 
 
 class Forest:
@@ -34,19 +34,20 @@ class Forest:
 
 
 def _ends(parents: DataFrame) -> DataFrame:
-    """node, parent with each pointer followed to its end; parents: node, parent (with parent <= node, ends pointing to themselves)."""
+    """node, parent with each pointer followed to its end, stored; parents: the same, stored, with parent <= node and ends pointing to themselves."""
     while True:
         up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
         nexts = stored(parents.join(up, "parent").select("node", F.col("above").alias("parent"), (F.col("above") != F.col("parent")).alias("moved")), "pointers")
-        parents = nexts.select("node", "parent")
+        dropped(parents)
+        parents = nexts
         if not nexts.filter("moved").limit(1).count():
-            return parents
+            return nexts
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes (node, label) with the least label of the node's component; edges: a, b. Nodes are of any type that has an order. Null labels are the greatest."""
     maps: list[DataFrame] = []
-    left = edges.filter("a <> b").select("a", "b")
+    left, contracted = edges.filter("a <> b").select("a", "b"), []
     while left.limit(1).count():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
@@ -55,9 +56,11 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         pa, pb = parents.select(F.col("node").alias("a"), F.col("parent").alias("ra")), parents.select(F.col("node").alias("b"), F.col("parent").alias("rb"))
         left = left.join(pa, "a").join(pb, "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
         left = stored(left, "contracted")
+        dropped(*contracted)
+        contracted = [left]
     if not maps:
         return nodes
-    roots = maps[0].withColumnRenamed("parent", "root")
+    roots = maps[0].select("node", F.col("parent").alias("root"))
     for m in maps[1:]:
         up = m.select(F.col("node").alias("root"), F.col("parent").alias("above"))
         roots = roots.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
@@ -65,4 +68,5 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     linked = nodes.join(roots, "node").select("root", "label")
     labels = stored(linked.groupBy("root").agg(F.min("label").alias("least")), "labels")
     found = stored(roots.join(labels, "root").select("node", "least"), "labelled")
+    dropped(*maps, *contracted, roots, labels)
     return nodes.join(found, "node", "left").select("node", F.coalesce("least", "label").alias("label"))

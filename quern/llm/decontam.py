@@ -211,6 +211,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: s
 
     spans = stored(spans.mapInArrow(merge, spans.schema), "spans").alias("s")
     named = stored(named, "named").alias("i")
+    dropped(hits)
     same = lambda t: F.col("d.doc_id").eqNullSafe(F.col(f"{t}.doc_id")) & (F.col("d.same") == F.col(f"{t}.same"))
     none = lambda c, t: F.coalesce(c, F.expr(f"cast(array() as {t})")).alias(c.split(".")[1])
     rows = by_doc.alias("d").join(spans, same("s"), "left").join(named, same("i"), "left")
@@ -221,4 +222,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
     """The documents without any word inside a window of the benchmark, in all their columns."""
     _, hits, _ = found_windows(docs.select("doc_id", "text"), benchmark, width)
     gone = stored(hits.select("doc_id", "same").distinct(), "gone")
+    dropped(hits)
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["same"]), "left_anti")

@@ -446,7 +446,9 @@ def _again(docs: DataFrame, least: int, radius: int) -> tuple[DataFrame, DataFra
     by_doc, classes = line_classes(docs, least, radius)
     first = functools.reduce(lambda x, c: x & F.col(f"first.{c}").eqNullSafe(F.col(c)), ["doc_id", "at", "same"], F.lit(True))
     again = _each(by_doc).join(classes, "line").filter(~first)
-    return by_doc, stored(again.select("doc_id", "same", "at", F.col("first.doc_id").alias("kept_in")), "again")
+    found = stored(again.select("doc_id", "same", "at", F.col("first.doc_id").alias("kept_in")), "again")
+    dropped(classes)
+    return by_doc, found
 
 
 def removed_lines(docs: DataFrame, least: int = 40, radius: int = 2) -> DataFrame:
@@ -465,8 +467,9 @@ def without_lines(docs: DataFrame, least: int = 40, radius: int = 2) -> DataFram
     Documents that lost lines, and of which no line is left that isn't blank, go. So no line goes of which the kept one is not in a
     document that stays.
     """
-    _, again = _again(docs, least, radius)
+    by_doc, again = _again(docs, least, radius)
     found = stored(again.groupBy("doc_id", "same").agg(F.array_sort(F.collect_set("at")).alias("gone")), "removed")
+    dropped(by_doc, again)
     # A document's columns are in a struct, so that no name of theirs clashes.
     rows = docs.select(F.struct(*(F.col(_quoted(c)) for c in docs.columns)).alias("row"))
     text = F.col("row.text")

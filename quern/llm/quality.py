@@ -180,9 +180,10 @@ def estimate(grams: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
 
     The empty n-gram's log-probability is that of a character that was never seen.
     """
-    levels = {ORDER: grams}
+    levels, behind = {ORDER: grams}, []
     for k in range(ORDER - 1, 0, -1):  # a lower order counts how many different characters stand before it
         levels[k] = stored(levels[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n")), f"order{k}")
+        behind.append(levels[k])
     is_ = lambda i: F.sum((F.col("n") == i).cast("long"))
     out, lower = [], None
     for k in range(1, ORDER + 1):
@@ -203,10 +204,11 @@ def estimate(grams: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
             rows = rows.withColumn("suffix", F.substring("gram", 2, k - 1)).join(suffix, ["lang", "suffix"])
             p = F.col("own") + F.col("held") * F.col("lower")
         lower = stored(rows.select("lang", "gram", "context", p.alias("p"), "held"), f"probabilities{k}")
+        behind += [d, lower]
         out.append(lower.select("lang", "gram", F.log("p").alias("logp"), F.lit(None).cast("double").alias("weight")))
         if k > 1:
             out.append(lower.select("lang", F.col("context").alias("gram"), F.lit(None).cast("double").alias("logp"), F.log("held").alias("weight")).distinct())
-    return functools.reduce(DataFrame.unionByName, out), [levels[k] for k in range(1, ORDER)]
+    return functools.reduce(DataFrame.unionByName, out), behind
 
 
 def write_model(model: DataFrame, folder: str) -> list[str]:
