@@ -40,10 +40,10 @@ from pyspark.sql import functions as F
 
 from .common import bytes_of, commit_file, dropped, filesystem, new_path, stored
 
-ORDER = 5
+ORDER = 4
 MIN_WORDS = 50
 #: Interquartile ranges beyond the quartiles.
-FENCE = 2.5
+FENCE = 3.0
 MEASURES = ("log_perplexity", "char_log_perplexity")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Files of a model; a power of 2.
