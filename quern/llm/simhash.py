@@ -39,6 +39,8 @@ from .components import Forest, components
 #: A-Z become a-z, white space becomes a space; other bytes stay.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 LEAF = 64
+#: Rows that a task holds at a time.
+HELD = 1 << 18
 #: Shingles of a group of candidates that are held at a time, about.
 PART = 1 << 21
 _SHIFTS = np.arange(63, -1, -1, dtype=np.uint64)
@@ -179,7 +181,16 @@ def links(fps: DataFrame, radius: int, blocks: list[tuple[int, int]]) -> DataFra
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("block", pa.int64()), ("key", pa.int64()), ("mask", pa.list_(pa.int64())), ("pattern", pa.list_(pa.int64())), ("nodes", pa.binary()), ("codes", pa.binary())])
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = list(batches)
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size >= HELD:
+                yield from some(held)
+                held, size = [], 0
+        yield from some(held)
+
+    def some(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column = lambda c: np.concatenate([b.column(c).to_numpy() for b in rows])
         if not sum(b.num_rows for b in rows):
             return
@@ -188,7 +199,7 @@ def links(fps: DataFrame, radius: int, blocks: list[tuple[int, int]]) -> DataFra
         new = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (key[1:] != key[:-1])]))
         ends = np.concatenate([new[1:], [len(fp)]])
         many = ends - new > 1
-        many[[0, -1]] = True  # these runs may go on in another partition
+        many[[0, -1]] = True  # these runs may go on before or after these rows
         pairs, nodes, step = [], [], 16 * LEAF
         for lo, hi in zip(new[many].tolist(), ends[many].tolist(), strict=True):
             for s in range(lo, hi, step):

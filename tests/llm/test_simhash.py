@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from quern.llm import simhash
@@ -61,7 +62,9 @@ def test_index_joins_the_same_components():
         assert [forest.root(i) for i in range(len(codes))] == roots(codes, 2)
 
 
-def test_links_over_partitions(spark):
+@pytest.mark.parametrize("held", [1 << 18, 300])
+def test_links_over_partitions(spark, monkeypatch, held):
+    monkeypatch.setattr(simhash, "HELD", held)
     r = random.Random(8)
     hot = 0x1234567 << 30  # many fingerprints that share two blocks
     codes = list({hot ^ r.getrandbits(11) ^ (r.getrandbits(3) << 60) for _ in range(2500)} | {r.getrandbits(64) for _ in range(50)} | {0, 3, 12})
