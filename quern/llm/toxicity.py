@@ -40,7 +40,7 @@ from .decontam import words_of
 STEM = 4
 #: Places of the table of counts; of a fixed size, whatever the labels.
 BUCKETS = 1 << 22
-#: Words whose scores a task keeps.
+#: Words whose scores a worker keeps.
 KNOWN = 500_000
 #: Strength of the prior: its words for each word of the smaller class.
 PRIOR = 1.0
@@ -112,14 +112,20 @@ class Scorer:
         values = list(map(self.known.get, words))
         if None in values:
             missing = list({w for w, v in zip(words, values, strict=True) if v is None})
-            if len(self.known) + len(missing) > KNOWN:
-                self.known = dict(self.model.scores)
             new = dict(zip(missing, self.fresh(missing), strict=True))
-            self.known.update(new)
+            if len(self.known) + len(new) <= KNOWN:  # common words are among the first
+                self.known.update(new)
             values = [new[w] if v is None else v for w, v in zip(words, values, strict=True)]
         return values
 
 
+def scorer_of(model: Model) -> Scorer:
+    """One for each Python worker, which keeps a broadcast model."""
+    if "scorer" not in vars(model):
+        vars(model)["scorer"] = Scorer(model)
+    return vars(model)["scorer"]
+
+
 def segments(words: list[bytes], model: Model) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score) of words."""
     return maximal(Scorer(model)(words))
@@ -301,7 +307,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = scorer_of(shared.value)
         for b in batches:
             out = [score(scorer, words_of(t)) for t in bytes_of(b)]
             passages = [[{"start": lo, "end": hi, "score": s} for lo, hi, s in p] for _, p in out]
@@ -316,7 +322,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> Data
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = scorer_of(shared.value)
         for b in batches:
             yield b.filter(pa.array([score(scorer, words_of(t))[0] < threshold for t in bytes_of(b)], pa.bool_()))
 
