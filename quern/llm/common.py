@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quern.sources.tables import table
 
-__all__ = ["Bits", "bytes_of", "commit_file", "dropped", "filesystem", "new_path", "publish", "ready", "sha256_of_ids", "shared_dir", "stored", "table", "texts_of"]
+__all__ = ["Bits", "apart", "bytes_of", "commit_file", "dropped", "filesystem", "in_struct", "new_path", "publish", "quoted", "ready", "sha256_of_ids", "shared_dir", "stored", "table", "texts_of"]
 
 _LOCAL: dict[str, str] = {}
 
@@ -151,6 +151,30 @@ def bytes_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()]
 
 
+#: Kinds of keys that apart() tells.
+KINDS = 1 << 18
+
+
+def apart(rows: DataFrame, others: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key (an integer in both) is surely none of the others', and those whose key may be one.
+
+    The former need no shuffle when rows are joined with others. What is broadcast has KINDS rows at most, whatever the input.
+    """
+    kind = F.col(key).bitwiseAND(KINDS - 1).alias("_kind")
+    taken = F.broadcast(others.select(kind).distinct())
+    marked = rows.select("*", kind)
+    return tuple(marked.join(taken, "_kind", how).drop("_kind") for how in ("left_anti", "left_semi"))
+
+
+def in_struct(docs: DataFrame) -> DataFrame:
+    """doc_id (a long), same (a hash of the text), row: a struct of all columns, so that no name of theirs clashes."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("same"), F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def sha256_of_ids(ids: str) -> F.Column:
     """Hex SHA-256 of an array of ids, as strings in string order, comma-joined."""
     return F.sha2(F.concat_ws(",", F.array_sort(F.transform(F.col(ids), lambda x: x.cast("string")))), 256)

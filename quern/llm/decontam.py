@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bits, bytes_of, dropped, stored
+from .common import Bits, apart, bytes_of, dropped, in_struct, quoted, stored
 
 SHINGLE = 3
 #: Bits of each filter.
@@ -223,4 +223,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
     _, hits, _ = found_windows(docs.select("doc_id", "text"), benchmark, width)
     gone = stored(hits.select("doc_id", "same").distinct(), "gone")
     dropped(hits)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["same"]), "left_anti")
+    clear, maybe = apart(in_struct(docs), gone, "same")
+    gone = gone.select(F.col("doc_id").cast("long").alias("gone_id"), F.col("same").alias("gone_same"))
+    left = maybe.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("same") == F.col("gone_same")), "left_anti")
+    return clear.unionByName(left).select(*(F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns))

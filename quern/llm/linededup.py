@@ -32,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bits, dropped, stored, texts_of
+from .common import Bits, dropped, in_struct, quoted, stored, texts_of
+from .common import apart as apart_by
 from .components import Forest, components
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -470,18 +471,15 @@ def without_lines(docs: DataFrame, least: int = 40, radius: int = 2) -> DataFram
     by_doc, again = _again(docs, least, radius)
     found = stored(again.groupBy("doc_id", "same").agg(F.array_sort(F.collect_set("at")).alias("gone")), "removed")
     dropped(by_doc, again)
-    # A document's columns are in a struct, so that no name of theirs clashes.
-    rows = docs.select(F.struct(*(F.col(_quoted(c)) for c in docs.columns)).alias("row"))
+    clear, maybe = apart_by(in_struct(docs), found, "same")
+    found = found.select(F.col("doc_id").alias("found_id"), F.col("same").alias("found_same"), "gone")
     text = F.col("row.text")
-    rows = rows.join(found, F.col("row.doc_id").cast("long").eqNullSafe(found["doc_id"]) & (F.xxhash64(text) == found["same"]), "left")
+    rows = maybe.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("same") == F.col("found_same")), "left")
     kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(F.col("gone"), i))
     rows = rows.withColumn("kept", F.when(F.col("gone").isNotNull(), F.array_join(kept, "\n")))
     rows = rows.filter(F.col("kept").isNull() | (F.length(F.btrim("kept", F.lit(" \t\r\v\f\n"))) > 0))
     new = {"text": F.coalesce("kept", text)}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("kept").isNull(), F.col("row.n_chars")).otherwise(F.length("kept").cast(docs.schema["n_chars"].dataType))
-    return rows.select([new.get(c, F.col(f"row.{_quoted(c)}")).alias(c) for c in docs.columns])
-
-
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+    old = {c: F.col(f"row.{quoted(c)}") for c in docs.columns}
+    return clear.select(*(x.alias(c) for c, x in old.items())).unionByName(rows.select(*(new.get(c, x).alias(c) for c, x in old.items())))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, dropped, stored
+from .common import apart, bytes_of, dropped, in_struct, quoted, stored
 from .components import Forest, components
 
 #: A-Z become a-z, white space becomes a space; other bytes stay.
@@ -371,11 +371,8 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     """
     words, each = plan(docs.count(), similarity)
     names = [f"fp{w}" for w in range(words)]
-    # A document's columns are in a struct, so that no name of theirs clashes.
-    quoted = ["`" + c.replace("`", "``") + "`" for c in docs.columns]
-    rows = docs.select(F.struct(*map(F.col, quoted)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.withColumn("key", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text"))
-    own = rows.select(F.col("key").alias("doc_id"), "text")
+    rows = in_struct(docs).select("row", "doc_id", F.xxhash64("doc_id", F.col("doc_id").isNull(), "row.text").alias("key"))
+    own = rows.select(F.col("key").alias("doc_id"), "row.text")
     fps = _noded(fingerprints(own, width, words).distinct(), names)
     found = _with_components(fps, names, similar_radius(words, similarity), similar_blocks(words, each))
     found = stored(found.select(F.col("doc_id").alias("key"), F.col("component_id").alias("group")), "groups")
@@ -386,7 +383,7 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
             sets = [np.sort(shingles(t, width).view(np.int64)) for t in bytes_of(b)]
             yield pa.RecordBatch.from_arrays([b.column("group"), b.column("doc_id"), b.column("key"), pa.array(sets, pa.list_(pa.int64()))], ["group", "doc_id", "key", "sets"])
 
-    alike = found.join(many, "group", "left_semi").join(rows.select("key", "doc_id", "text"), "key").dropDuplicates(["key"])
+    alike = found.join(many, "group", "left_semi").join(rows.select("key", "doc_id", "row.text"), "key").dropDuplicates(["key"])
     sets = stored(alike.select("group", "doc_id", "key", "text").mapInArrow(hashed, "group long, doc_id long, key long, sets array<long>"), "sets")
     parts = sets.groupBy("group").agg(F.ceil(F.sum(F.size("sets") + 1) / PART).cast("int").alias("parts"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
@@ -417,7 +414,9 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     joined = components(sets.select(F.col("key").alias("node"), first.alias("label")), links_)
     gone = stored(joined.filter(F.col("label.key") != F.col("node")).select("node").join(sets.select(F.col("key").alias("node"), "doc_id"), "node"), "gone")
     dropped(fps, found, many, sets, links_)
-    left = rows.join(gone, (rows["key"] == gone["node"]) & rows["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    clear, maybe = apart(rows, gone.withColumnRenamed("node", "key"), "key")
+    gone = gone.select("node", F.col("doc_id").alias("gone_id"))
+    left = clear.unionByName(maybe.join(gone, (F.col("key") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti"))
     if rows.groupBy("key", "doc_id").count().filter("count > 1").limit(1).count():
         left = left.dropDuplicates(["key", "doc_id"])
-    return left.select(*(F.col(f"row.{q}").alias(c) for q, c in zip(quoted, docs.columns, strict=True)))
+    return left.select(*(F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns))
