@@ -105,7 +105,7 @@ def test_op10(spark, folder):
 def test_op1_and_op9_columns(spark, folder):
     one, nine = run(spark, "op1_decontamination", folder), run(spark, "op9_line_dedup", folder)
     assert all(one[i]["n_words"] == len(words(t)) for i, t in rows_of())
-    assert {i for i, r in one.items() if r["contaminated"]} == {24, 6} and one[24]["n_items"] == 1
+    assert {i for i, r in one.items() if r["contaminated"]} == {i for i, t in rows_of() if i == 24 or "x" in words(t)} and one[24]["n_items"] == 1
     assert one[24]["items_sha256"] == hashlib.sha256(b"1").hexdigest() and one[6]["items_sha256"] == hashlib.sha256(b"").hexdigest()
     assert all(nine[i]["n_lines"] == sum(bool(x.strip(" \t\r\v\f")) for x in (t or "").split("\n")) for i, t in rows_of())
 
