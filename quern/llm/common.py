@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zlib
 from pathlib import Path
 
 import numpy as np
@@ -128,8 +129,13 @@ class Bits:
         words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
         return cls(words)
 
-    def __contains__(self, key: int) -> bool:
-        return bool(self.have(np.array([key], np.int64))[0])
+    def packed(self) -> bytes:
+        """For a broadcast, whose file each executor keeps: of few keys it is short."""
+        return zlib.compress(self.words.tobytes(), 1)
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Bits:
+        return cls(np.frombuffer(zlib.decompress(data), np.uint64))
 
     def have(self, keys: np.ndarray) -> np.ndarray:
         """For each key (64 bits, of any sign) whether it may be one of them."""

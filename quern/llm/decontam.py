@@ -108,10 +108,10 @@ def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
 
 def rarity(docs: DataFrame, keys: DataFrame, sizes: list[int]) -> DataFrame:
     """shingle, n: documents that hold each of the shingles (and some others); keys: shingle. A row for each shingle and task is shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(Bits.of(keys, "shingle", FILTER_BITS).words)
+    shared = docs.sparkSession.sparkContext.broadcast(Bits.of(keys, "shingle", FILTER_BITS).packed())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, bits, held, size = Shingles(), Bits(shared.value), [], 0
+        of, bits, held, size = Shingles(), Bits.unpacked(shared.value), [], 0
 
         def added() -> pa.RecordBatch:
             found, n = np.unique(np.concatenate(held), return_counts=True)
@@ -138,11 +138,11 @@ def candidates(docs: DataFrame, keys: DataFrame, sizes: list[int], width: int) -
 
     around: the words that a window with the shingle may hold, space-joined; before: how many of them stand before it.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Bits.of(keys, "shingle", FILTER_BITS).words)
+    shared = docs.sparkSession.sparkContext.broadcast(Bits.of(keys, "shingle", FILTER_BITS).packed())
     kind = pa.list_(pa.struct([("shingle", pa.int64()), ("at", pa.int32()), ("before", pa.int32()), ("around", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, bits = Shingles(), Bits(shared.value)
+        of, bits = Shingles(), Bits.unpacked(shared.value)
         for b in batches:
             size, places = [], []
             for text in bytes_of(b):

@@ -388,11 +388,12 @@ def forest(lines: list[str], probe: np.ndarray, radius: int) -> list[tuple[int,
 
 def _texts(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     """hi, lo, text of the wanted lines (hi, lo). A filter of a fixed size keeps most others from the shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(Bits.of(wanted, "lo", FILTER_BITS).words)
+    shared = docs.sparkSession.sparkContext.broadcast(Bits.of(wanted, "lo", FILTER_BITS).packed())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = Bits.unpacked(shared.value)
         for hashes, lines in _distinct(batches, least):
-            mine = np.flatnonzero(Bits(shared.value).have(np.ascontiguousarray(hashes[:, 1])))
+            mine = np.flatnonzero(bits.have(np.ascontiguousarray(hashes[:, 1])))
             yield pa.RecordBatch.from_arrays([pa.array(hashes[mine, 0]), pa.array(hashes[mine, 1]), pa.array([lines[i] for i in mine.tolist()], pa.string())], ["hi", "lo", "text"])
 
     found = docs.mapInArrow(run, "hi long, lo long, text string").groupBy("hi", "lo").agg(F.any_value("text").alias("text"))

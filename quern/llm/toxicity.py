@@ -24,6 +24,7 @@ rows; other columns aren't read.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -55,7 +56,7 @@ class Model:
     k: float = 1.0
     weights: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
     bias: float = -20.0
-    counts: bytes = b""  # toxic and clean documents by bucket, as int32
+    counts: bytes = b""  # toxic and clean documents by bucket, as int32, packed by zlib
     totals: tuple[int, int, int] = (0, 0, 0)  # tokens, and their sums over toxic and over clean documents
     shift: float = 0.0
 
@@ -89,7 +90,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.known = model, dict(model.scores)
-        self.toxic, self.clean = np.frombuffer(model.counts, np.int32).reshape(2, -1) if model.counts else (None, None)
+        self.toxic, self.clean = np.frombuffer(zlib.decompress(model.counts), np.int32).reshape(2, -1) if model.counts else (None, None)
 
     def fresh(self, words: list[bytes], own: tuple[int, int] = (0, 0)) -> list[float]:
         """From the counts, less those of a document (toxic, clean) that is one of the counted."""
@@ -258,11 +259,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Model:
     # Words that weren't counted are as those that were met once: what share of each class they are.
     once = table[:, table.sum(axis=0) == 1].sum(axis=1) + 1
     pooled = math.log(once[0] / totals[1]) - math.log(once[1] / totals[2])
-    model = Model(pooled=min(pooled, -1e-3), counts=table.tobytes(), totals=totals)
+    model = Model(pooled=min(pooled, -1e-3), counts=zlib.compress(table.tobytes(), 1), totals=totals)
     shared = spark.sparkContext.broadcast(model)
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = scorer_of(shared.value)
         for b in batches:
             out, toxic = [], [int(y > 0) for y in b.column("toxic").to_pylist()]
             for text, y in zip(bytes_of(b), toxic, strict=True):
@@ -296,6 +297,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Model:
     x = gathered(lambda v, y: (*evidence(len(v), maximal((v - shift).tolist()), k), y), ["any", "best", "sum", "beyond", "y"])
     model.weights, model.bias = logistic(x[:, :-1], x[:, -1])
     dropped(sample, words, distinct, rows)
+    shared.destroy()
     mine = [bytes(r["word"]) for r in alone]
     model.scores = dict(sorted(zip(mine, Scorer(model).fresh(mine), strict=True)))
     return model
