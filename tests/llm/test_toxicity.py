@@ -100,3 +100,15 @@ def test_inflected_forms_add_up(spark):
     got = {x["doc_id"]: x["score"] >= 0.5 for x in toxicity.score_documents(df, model).collect()}
     held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0]
     assert sum(got[i] != (i % 4 == 0) for i in held) <= 2
+
+
+def test_the_fit_does_not_run_off():
+    """Evidence of a few labels, some far out: whole Newton steps ended at a bias of 5 million, which calls all documents toxic."""
+    best = np.r_[8, 16, 16, 19, 190, 17, 3, 4, 4.5, 5, 5.5, 6, 6.2, 7.5, np.linspace(-1, 2.8, 200)]
+    y = np.r_[np.ones(5), np.zeros(209)]
+    log = np.log1p(np.maximum(best, 0))
+    x = np.c_[np.ones(214), best, log + 0.02 * np.cos(9 * best), np.where(best > 3, log, 0)]
+    weights, bias = toxicity.logistic(x, y)
+    p = 1 / (1 + np.exp(-(x @ weights + bias)))
+    assert np.abs(x.T @ (y - p) - 0.01 * np.array(weights)).max() < 1e-6  # the minimum
+    assert (p[y == 0] > 0.5).sum() <= 1 and (p[y == 1] > 0.5).sum() >= 4
