@@ -185,9 +185,11 @@ select label, cast(len(list_filter(list_sort(embedding), lambda x: x > 0)) as bi
 from embeddings
 """)
 def more_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tenths are counted in the floats' own precision: as a double 0.35 * 10 is below 3.5."""
     e = F.col("embedding")
-    tenths = F.array_distinct(F.transform(e, lambda x: F.round(x * 10).cast("int")))
-    return table(spark, sf_dir, "embeddings").select("label", F.size(F.filter(F.sort_array(e), lambda x: x > 0)).cast("long").alias("positive"), F.round(F.array_max(e), 5).alias("most"), F.array_contains(e, F.element_at(e, 1)).alias("has_first"), "vec_id", F.size(tenths).cast("long").alias("kinds"))
+    tenths = F.array_distinct(F.transform(F.filter(e, lambda x: x.isNotNull()), lambda x: F.round(x * F.lit(10).cast("float")).cast("int")))
+    first = F.get(e, 0)
+    return table(spark, sf_dir, "embeddings").select("label", F.size(F.filter(F.sort_array(e), lambda x: x > 0)).cast("long").alias("positive"), F.round(F.array_max(e), 5).alias("most"), F.array_contains(e, first).alias("has_first"), "vec_id", F.size(tenths).cast("long").alias("kinds"))
 
 
 @query("select c_custkey, 97 - c_custkey % 97 as digits from customer")
