@@ -63,14 +63,19 @@ def purchases_within_a_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("view_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"))
 
 
-_LATERAL = """
-select c_custkey, n, most from {customer} as c, lateral (select count(*) as n, max(o_totalprice) as most from {orders} as o where o.o_custkey = c.c_custkey and o.o_totalprice > c.c_acctbal) as x
-"""
-
-
-@query(_LATERAL.replace("{customer}", "customer").replace("{orders}", "orders"))
+@query("""
+select c_custkey, n, most from customer as c, lateral (select count(*) as n, max(o_totalprice) as most from orders as o where o.o_custkey = c.c_custkey and o.o_totalprice > c.c_acctbal) as x
+""")
 def lateral_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, sf_dir, _LATERAL, "customer", "orders")
+    """Within the lateral part orders meet customers by key first: what is left of the correlation is equality, which Spark takes
+    as a join, where an inequality makes it pair every order with every balance.
+    """
+    return _sql(spark, sf_dir, """
+        select c_custkey, n, most from {customer} as c, lateral (
+          select count(*) as n, max(o_totalprice) as most
+          from (select distinct c_custkey as key, c_acctbal as balance from {customer}) as k join {orders} as o on o.o_custkey = k.key and o.o_totalprice > k.balance
+          where k.key = c.c_custkey and k.balance = c.c_acctbal) as x
+    """, "customer", "orders")
 
 
 @query("""

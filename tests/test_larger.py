@@ -24,3 +24,12 @@ def test_more_arrays_on_ties_nulls_and_empties(spark, tmp_path):
     n = len(vectors)
     data = pa.table({"vec_id": pa.array(range(n), pa.int64()), "embedding": pa.array(vectors, pa.list_(pa.float32())), "label": pa.array([1] * n, pa.int32())})
     same(spark, tmp_path, "more_arrays", embeddings=data)
+
+
+def test_lateral_join_pairs_by_key_only(spark, tmp_path):
+    balance = [10.0, 10.0, 20.0, None, float("nan"), -0.0, 0.0, 5.0, 900.0, 5.0]
+    key = [1, 1, 1, 2, 3, 4, 4, None, 5, 6]
+    customer = pa.table({"c_custkey": pa.array(key, pa.int64()), "c_acctbal": pa.array(balance, pa.float64())})
+    orders = pa.table({"o_custkey": pa.array([1, 1, 1, 2, 3, 4, 4, None, 5, 77], pa.int64()), "o_totalprice": pa.array([5.0, 15.0, 25.0, 1.0, 2.0, 0.0, 7.0, 9.0, 1.0, 8.0], pa.float64())})
+    df = same(spark, tmp_path, "lateral_join", customer=customer, orders=orders)
+    assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
