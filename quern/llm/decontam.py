@@ -32,8 +32,10 @@ from .common import Bits, apart, bytes_of, dropped, in_struct, quoted, stored
 SHINGLE = 3
 #: Bits of each filter.
 FILTER_BITS = 1 << 26
-#: Words whose hashes a task keeps; shingles that it holds until it adds them up.
-KNOWN, HELD = 500_000, 1 << 21
+#: Shingles that a task holds until it adds them up.
+HELD = 1 << 21
+#: Words of texts that are looked at together.
+TOGETHER = 1 << 14
 # Bytes that end a word become spaces, A-Z become a-z; bytes of other characters stay.
 _WORDS = bytes(b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -50,31 +52,58 @@ def windows_of(words: list[bytes], width: int) -> list[list[bytes]]:
 
 
 class Shingles:
-    """Hashes of shingles; those of words that were met are kept."""
+    """Hashes of shingles. A word is hashed each time: that is quicker than to look it up among many."""
 
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        """A hash of each word."""
+        from xxhash import xxh3_64_intdigest
+
+        return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 
     def __call__(self, words: list[bytes], width: int) -> np.ndarray:
         """Of the shingles of so many words that start at each word."""
-        from xxhash import xxh3_64_intdigest
+        return self.joined(self.hashes(words), width)
 
-        if len(words) < width:
-            return np.zeros(0, np.int64)
-        found = list(map(self.known.get, words))
-        if None in found:
-            if len(self.known) > KNOWN:
-                self.known.clear()
-            new = {w: xxh3_64_intdigest(w) for w, h in zip(words, found, strict=True) if h is None}
-            self.known.update(new)
-            found = [new[w] if h is None else h for w, h in zip(words, found, strict=True)]
-        h = np.array(found, np.uint64)
+    def joined(self, h: np.ndarray, width: int) -> np.ndarray:
+        """Hashes of the shingles of so many words, given those of the words."""
         n = len(h) - width + 1
+        if n <= 0:
+            return np.zeros(0, np.int64)
         out = np.full(n, width, np.uint64)
+        spare = np.empty_like(out)
         for i in range(width):
-            out = (out * _P) ^ h[i : i + n]
-            out = (out ^ (out >> np.uint64(29))) * _Q
-        return (out ^ (out >> np.uint64(32))).view(np.int64)
+            out *= _P
+            out ^= h[i : i + n]
+            out ^= np.right_shift(out, np.uint64(29), out=spare)
+            out *= _Q
+        out ^= np.right_shift(out, np.uint64(32), out=spare)
+        return out.view(np.int64)
+
+
+def shingles_met(batch: pa.RecordBatch, of: Shingles, bits: Bits, sizes: list[int]) -> Iterator[tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]]:
+    """For some texts at a time: their words, and of each shingle that may be one of the keys its text, its place there and its hash.
+
+    Texts are taken together, as most are short; shingles that run from one into the next are left out.
+    """
+    texts = bytes_of(batch)
+    lo = 0
+    while lo < len(texts):
+        some, flat = [], []
+        while lo < len(texts) and len(flat) < TOGETHER:
+            some.append(words_of(texts[lo]))
+            flat += some[-1]
+            lo += 1
+        own = np.fromiter(map(len, some), np.int64, len(some))
+        ends = np.cumsum(own)
+        h, parts = of.hashes(flat), [(np.zeros(0, np.int64),) * 3]
+        for k in sizes:
+            found = of.joined(h, k)
+            at = np.flatnonzero(bits.have(found))
+            text = np.searchsorted(ends, at, side="right")
+            inside = at + k <= ends[text]
+            at, text = at[inside], text[inside]
+            parts.append((text, at - (ends - own)[text], found[at]))
+        yield some, *(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
@@ -118,12 +147,11 @@ def rarity(docs: DataFrame, keys: DataFrame, sizes: list[int]) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["shingle", "n"])
 
         for b in batches:
-            for text in bytes_of(b):
-                words = words_of(text)
-                for k in sizes:
-                    found = of(words, k)
-                    held.append(np.unique(found[bits.have(found)]))
-                    size += len(held[-1])
+            for _, text, _, found in shingles_met(b, of, bits, sizes):
+                order = np.lexsort((found, text))
+                text, found = text[order], found[order]
+                held.append(found[np.concatenate([[True], (text[1:] != text[:-1]) | (found[1:] != found[:-1])])] if len(found) else found)
+                size += len(held[-1])
                 if size > HELD:
                     yield added()
                     held, size = [], 0
@@ -145,15 +173,13 @@ def candidates(docs: DataFrame, keys: DataFrame, sizes: list[int], width: int) -
         of, bits = Shingles(), Bits.unpacked(shared.value)
         for b in batches:
             size, places = [], []
-            for text in bytes_of(b):
-                words, own = words_of(text), []
-                for k in sizes:
-                    found = of(words, k)
-                    for i in np.flatnonzero(bits.have(found)).tolist():
-                        lo = max(0, i - width + 1)
-                        own.append({"shingle": int(found[i]), "at": i, "before": i - lo, "around": b" ".join(words[lo : i + width]).decode()})
-                size.append(len(words))
-                places.append(own)
+            for some, text, at, found in shingles_met(b, of, bits, sizes):
+                base = len(places)
+                size += map(len, some)
+                places += [[] for _ in some]
+                for t, i, x in zip(text.tolist(), at.tolist(), found.tolist(), strict=True):
+                    lo = max(0, i - width + 1)
+                    places[base + t].append({"shingle": x, "at": i, "before": i - lo, "around": b" ".join(some[t][lo : i + width]).decode()})
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("same"), pa.array(size, pa.int64()), pa.array(places, kind)], ["doc_id", "same", "n_words", "places"])
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("same"), "text")

@@ -1,7 +1,11 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from quern.llm import decontam
+from quern.llm.common import Bits
 
 from .helpers import ODD, docs
 
@@ -87,3 +91,22 @@ def test_decontaminate_keeps_columns(spark):
     kept = decontam.decontaminate(df, bench)
     assert kept.schema == df.schema
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(i) for i, _, n, _ in brute(texts, items) if not n)
+
+
+def test_texts_that_are_looked_at_together(monkeypatch):
+    """Shingles of many texts at once are those of each text by itself: none runs from one into the next."""
+    r = random.Random(8)
+    texts = ["", "a", "a b", *(" ".join(r.choice("abc") for _ in range(r.randint(0, 30))) for _ in range(50)), "", None]
+    batch, of = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]), decontam.Shingles()
+    every = Bits(np.full(1, 2**64 - 1, np.uint64))
+    words = [decontam.words_of((x or "").encode()) for x in texts]
+    want = [(t, i, x) for t, w in enumerate(words) for k in (1, 3) for i, x in enumerate(of(w, k).tolist())]
+    for together in (1, 40, 1 << 14):
+        monkeypatch.setattr(decontam, "TOGETHER", together)
+        got, base = [], 0
+        for some, text, at, found in decontam.shingles_met(batch, of, every, [1, 3]):
+            assert some == words[base : base + len(some)]
+            got += zip((text + base).tolist(), at.tolist(), found.tolist(), strict=True)
+            base += len(some)
+        assert base == len(texts) and sorted(got) == sorted(want)
+    assert [x[0].tolist() for x in [y[1:] for y in decontam.shingles_met(batch, of, every, [])]] == [[]]
