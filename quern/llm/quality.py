@@ -278,7 +278,9 @@ class Scorer:
         self.n_known = 0
 
     def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        order = np.argsort(h)  # neighbours then look at the same stretch of keys, which the processor still has
+        at = np.empty(len(h), np.int64)
+        at[order] = np.minimum(np.searchsorted(self.keys, h[order]), len(self.keys) - 1)
         return at, self.keys[at] == h
 
     def ngrams(self, grams: np.ndarray, seed: np.ndarray) -> np.ndarray:
@@ -312,15 +314,21 @@ class Scorer:
             known = self.known.setdefault(lang, ({}, {}))
             mine = [i for i, x in enumerate(langs) if x == lang]
             for kind in (0, 1):
-                values = {i: list(map(known[kind].get, texts[i][kind])) for i in mine}
-                missing = {x for i, v in values.items() if None in v for x, y in zip(texts[i][kind], v, strict=True) if y is None}
-                keys = list(missing)
+                get, holes = known[kind].get, {}
+                for i in mine:
+                    own = texts[i][kind]
+                    values = list(map(get, own))
+                    if None in values:
+                        holes[i] = [x for x, y in zip(own, values, strict=True) if y is None]
+                        values = filter(None, values)
+                    out[i] += sum(values)
+                keys = list(set().union(*holes.values()))
                 new = dict(zip(keys, self.fresh(lang, keys, bool(kind)), strict=True))
+                for i, own in holes.items():
+                    out[i] += sum(map(new.__getitem__, own))
                 if self.n_known + len(new) <= self.max_keys:
                     known[kind].update(new)
                     self.n_known += len(new)
-                for i, v in values.items():
-                    out[i] += sum(new[x] if y is None else y for x, y in zip(texts[i][kind], v, strict=True)) if None in v else sum(v)
         return out
 
 

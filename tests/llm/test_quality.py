@@ -131,3 +131,21 @@ def test_small_languages_have_bands_of_their_own(spark):
     assert got[500]["kept"] or got[500]["base_failed"]
     assert len({got[i]["low_off_log_perplexity"] for i in range(12)}) == 1
     assert got[0]["low_off_log_perplexity"] != got[100]["low_off_log_perplexity"]
+
+
+def test_scores_are_the_same_however_texts_come(spark):
+    """Together or one by one, in any order, with words and windows kept, partly kept or not kept."""
+    r = random.Random(31)
+    texts = [" ".join(r.choice(["one", "two", "ähnlich", "four", "f" * r.randint(1, 9)]) for _ in range(r.randint(0, 40))) for _ in range(60)]
+    uris = quality.fit(docs(spark, list(enumerate(texts[:30]))))
+    want = [quality.Scorer(uris, max_keys=0).texts(["en"], [quality.split(t.encode())])[0] for t in texts]
+    order = r.sample(range(60), 60)
+    for most in (0, 20, 1_000_000):
+        scorer = quality.Scorer(uris, max_keys=most)
+        for _ in range(2):
+            got = scorer.texts(["en"] * 60, [quality.split(texts[i].encode()) for i in order])
+            assert np.allclose(got, [want[i] for i in order], atol=1e-9)
+    keys = scorer.keys[np.random.default_rng(1).permutation(len(scorer.keys))]
+    at, seen = scorer._find(np.concatenate([keys, keys ^ np.uint64(1)]))
+    assert seen[: len(keys)].all() and (scorer.keys[at[: len(keys)]] == keys).all()
+    assert (seen[len(keys) :] == np.isin(keys ^ np.uint64(1), keys)).all()
