@@ -26,6 +26,10 @@ _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _PRINTED = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in set(_PRINTABLE))}
 
 
+#: Times that late chunks fill their room until all are forgotten.
+TURNS = 16
+
+
 class ChunkEncoder:
     """Encodes texts to little-endian uint32 ids.
 
@@ -42,19 +46,31 @@ class ChunkEncoder:
         #: Texts that hold one of these are encoded whole.
         self.apart = tuple(t.content for t in added if not (special_as_text and t.special))
         self.max_chunks = max_chunks
+        #: Those that came first, among which common ones are, stay; others go to late, which is emptied when it is full.
         self.chunks: dict[str, bytes] = {}
+        self.late: dict[str, bytes] = {}
+        self.turns = 0
         self.parts: dict[str, bytes] = {}
         self.model = self.tokenizer.model
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, missing: set[str]) -> None:
-        if len(self.chunks) + len(missing) > self.max_chunks:
-            self.chunks.clear()
-        if len(self.parts) > self.max_chunks // 2:
-            self.parts.clear()
-        self.chunks.update((x, self._chunk(x, " ")) for x in missing)
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        late, chunk = self.late.get, self._chunk
+        new = {x: late(x) or chunk(x, " ") for x in missing}
+        if len(self.chunks) + len(new) <= self.max_chunks * 3 // 4:
+            self.chunks.update(new)
+            return new
+        if len(self.late) + len(new) > self.max_chunks // 4:
+            self.late.clear()
+            self.turns += 1
+            if self.turns == TURNS:  # the texts may be others by now
+                self.chunks.clear()
+                self.parts.clear()
+                self.turns = 0
+        self.late.update(new)
+        return new
 
     def _chunk(self, x: str, lead: str) -> bytes:
         """The ids of lead (a space or nothing) and x."""
@@ -65,7 +81,9 @@ class ChunkEncoder:
         ids = b""
         for part in found:
             if (known := self.parts.get(part)) is None:
-                known = self.parts[part] = array("I", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(_PRINTED))]).tobytes()
+                known = array("I", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(_PRINTED))]).tobytes()
+                if len(self.parts) < self.max_chunks // 2:
+                    self.parts[part] = known
             ids += known
         return ids
 
@@ -92,11 +110,10 @@ class ChunkEncoder:
                 out.append(join(ids))
         if later:
             missing = {x for *_, holes in later for _, x in holes}
-            self._learn(missing)
-            chunks = self.chunks
+            new = self._learn(missing)
             for i, ids, holes in later:
                 for n, x in holes:
-                    ids[n] = chunks[x]
+                    ids[n] = new[x]
                 out[i] = join(ids)
         return out
 

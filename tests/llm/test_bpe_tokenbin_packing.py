@@ -169,3 +169,17 @@ def test_supersteps_are_best_fit_decreasing():
 
 def test_files_are_in_the_shared_folder(spark):
     assert new_path(spark, "x").startswith("file:")
+
+
+def test_common_chunks_stay_when_the_cache_is_full():
+    """The first chunks aren't thrown away for rare ones, until the late ones have filled their room TURNS times."""
+    enc = ChunkEncoder(PATH, max_chunks=100)
+    enc.encode_batch(["so the common words stay"])
+    for i in range(5):
+        texts = [f"a w{i}x{j}, the common" for j in range(200)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode_batch(texts)] == [whole(t) for t in texts]
+    assert {"the", "common", "words"} <= set(enc.chunks) and len(enc.chunks) <= 75 and len(enc.parts) <= 50
+    for i in range(100):
+        texts = [f"b others{i}x{j}" for j in range(20)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode_batch(texts)] == [whole(t) for t in texts]
+    assert "common" not in enc.chunks and len(enc.chunks) <= 75 and len(enc.late) <= 25
