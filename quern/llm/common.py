@@ -8,16 +8,18 @@ import shutil
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.sources.tables import table
 
-__all__ = ["Bits", "apart", "bytes_of", "commit_file", "dropped", "filesystem", "in_struct", "new_path", "publish", "quoted", "ready", "sha256_of_ids", "shared_dir", "stored", "table", "texts_of"]
+__all__ = ["Bits", "apart", "bytes_of", "commit_file", "dropped", "filesystem", "in_struct", "new_path", "parts_of", "publish", "quoted", "ready", "sha256_of_ids", "shared_dir", "stored", "table", "texts_of"]
 
 _LOCAL: dict[str, str] = {}
 
@@ -151,6 +153,15 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
+def parts_of(batch: pa.RecordBatch, most: int, name: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batch in parts with fewer than so many bytes of text, but for the last row of a part."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = [0, *(np.flatnonzero(np.diff(ends // most, prepend=0)) + 1).tolist(), batch.num_rows]
+    for lo, hi in zip(at, at[1:], strict=False):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
+
+
 def bytes_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """UTF-8 bytes of a column, without decoding; null becomes the empty text."""
     col = batch.column(name)

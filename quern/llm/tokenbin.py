@@ -26,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import encoder
-from .common import filesystem, new_path, publish, stored, texts_of
+from .bpe import GROUP, encoder
+from .common import filesystem, new_path, parts_of, publish, stored, texts_of
 
 MAGIC, END = b"QIDS8B1\0", 0x51554944533842
 BLOCK = 1024
@@ -249,8 +249,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, folder: str, doc_id:
             if out is None:
                 no = task.partitionId()
                 out = Writer(uri := f"{folder}/part-{no:07d}.ids", task.taskAttemptId())
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
+            for part in parts_of(b, GROUP):
                 for doc, ids in zip(part.column("doc_id").to_pylist(), enc.encode_batch(texts_of(part)), strict=True):
                     out.add(doc, np.frombuffer(ids + end, "<u4"))
         if out is not None:

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,7 +11,7 @@ from tokenizers import Tokenizer
 
 from quern.llm import packing, tokenbin
 from quern.llm.bpe import ChunkEncoder, encoder, token_bytes
-from quern.llm.common import new_path
+from quern.llm.common import new_path, parts_of
 
 from .helpers import ODD, docs
 
@@ -183,3 +184,61 @@ def test_common_chunks_stay_when_the_cache_is_full():
         texts = [f"b others{i}x{j}" for j in range(20)]
         assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode_batch(texts)] == [whole(t) for t in texts]
     assert "common" not in enc.chunks and len(enc.chunks) <= 75 and len(enc.late) <= 25
+
+
+def test_a_batch_has_few_lookups_and_few_calls(monkeypatch):
+    """Each distinct chunk of a batch is looked up once, and new ones aren't encoded one by one."""
+
+    class Counted(dict):
+        n = 0
+
+        def get(self, *key):
+            self.n += 1
+            return super().get(*key)
+
+    calls = []
+    for name in ("_chunk", "whole"):
+        monkeypatch.setattr(ChunkEncoder, name, lambda self, x, *more, f=getattr(ChunkEncoder, name): calls.append(x) or f(self, x, *more))
+    enc = ChunkEncoder(PATH)
+    enc.chunks = Counted()
+    texts = [f"the words {' '.join(f'w{i}x{j}, it’s new{i}and{j}.' for j in range(100))} again and again and again" for i in range(10)]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode_batch(texts)] == [whole(t) for t in texts]
+    assert len(calls) <= 2 * len(texts) and enc.chunks.n <= 2 * len({x for t in texts for x in t.split(" ")})
+
+
+PIECES = st.one_of(st.sampled_from([" ", "  ", "\n", " \n", "\t", "\0", "a", "the", "it's", "naïve", "中文", "é", "12", "...", " ", "\x1c", "᠎", "😀", "end.\nNew", "<|endoftext|>", "<|", "\uffff"]), st.text(max_size=3))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(PIECES, max_size=12).map("".join), max_size=6), st.sampled_from(["all", "library", "one by one"]), st.sampled_from([4, 800_000]))
+def test_batches_encode_as_whole_texts(texts, way, max_chunks):
+    enc = way_of(way, max_chunks)
+    for own in (texts, texts[::-1], [" ".join(texts)]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode_batch(own)] == [whole(t) for t in own]
+
+
+def way_of(way, max_chunks, made={}):  # noqa: B006
+    """An encoder that takes all ways, or only those that other vocabularies leave."""
+    if (way, max_chunks) not in made:
+        enc = made[way, max_chunks] = ChunkEncoder(PATH, max_chunks=max_chunks)
+        if way != "all":
+            assert enc.bare
+            enc.bare = None
+        if way == "one by one":
+            enc.spaced[:] = False
+    return made[way, max_chunks]
+
+
+def test_texts_of_a_group_and_more(monkeypatch):
+    monkeypatch.setattr("quern.llm.bpe.GROUP", 50)
+    texts = ["", "some words", "x " * 40 + "y", "", "a  b", "z" * 60, "the end"] * 3
+    assert [np.frombuffer(x, "<u4").tolist() for x in ChunkEncoder(PATH).encode_batch(texts)] == [whole(t) for t in texts]
+
+
+@pytest.mark.parametrize("lengths", [[], [0], [9], [30], [30, 1], [1, 30], [3, None, 3, 3, 3, 3, 3], [10, 10, 10], [9, 1, 0, 5], [0, 0, 25, 0, 25]])
+def test_parts_of_a_batch(lengths):
+    batch = pa.RecordBatch.from_arrays([pa.array([n if n is None else "é" * (n // 2) + "x" * (n % 2) for n in lengths], pa.string())], ["text"])
+    parts = list(parts_of(batch, 10))
+    assert sum((p.column("text").to_pylist() for p in parts), []) == batch.column("text").to_pylist()
+    assert all(p.num_rows and sum(len((x or "").encode()) for x in p.column("text").to_pylist()[:-1]) < 10 for p in parts)
